@@ -1,0 +1 @@
+"""Document and vector retrieval as Spark DataFrame plans."""
