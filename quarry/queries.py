@@ -267,14 +267,14 @@ def read_document(spark, sf_dir):
     return D.document_chunks(chunks(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string")), "/SRC3/1").select("chunk_id", "url", "content")
 
 
-LINKED = r"(SELECT page_id::VARCHAR AS doc_id, url, regexp_replace(html, '<a href=\"([^\"]*)\"[^>]*>([^<]*)</a>', '[\2](\1)', 'g') AS content FROM pages)"
+LINKED = r"(SELECT page_id::VARCHAR AS doc_id, url, regexp_replace(html, '<a href=\"/([^\"]*)\"[^>]*>([^<]*)</a>', '[\2](\1)', 'g') AS content FROM pages)"
 
 
-@query(rf"SELECT DISTINCT doc_id, url, url AS title FROM {LINKED} p WHERE translate(content, '{T.UPPER}', '{T.LOWER}') LIKE '%](http%' OR translate(content, '{T.UPPER}', '{T.LOWER}') LIKE '%](../http%' ORDER BY title, doc_id LIMIT 5")
+@query(rf"SELECT DISTINCT doc_id, url, url AS title FROM {LINKED} p WHERE translate(content, '{T.UPPER}', '{T.LOWER}') LIKE '%](that%' OR translate(content, '{T.UPPER}', '{T.LOWER}') LIKE '%](../that%' ORDER BY title, doc_id LIMIT 5")
 def related_pages(spark, sf_dir):
-    content = F.regexp_replace("html", r'<a href="([^"]*)"[^>]*>([^<]*)</a>', r"[$2]($1)")
+    content = F.regexp_replace("html", r'<a href="/([^"]*)"[^>]*>([^<]*)</a>', r"[$2]($1)")
     p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), "url", F.col("url").alias("title"), content.alias("content"))
-    return D.related_documents(p, "docs/HTTP.md")
+    return D.related_documents(p, "docs/THAT.md")
 
 
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents), f AS (SELECT * FROM l WHERE regexp_matches(line, '(?i)license') ORDER BY doc_id, n LIMIT 100) SELECT doc_id AS path, count(*) AS matches, min(n) AS first_line FROM f GROUP BY doc_id ORDER BY matches DESC, path LIMIT 10")
