@@ -206,7 +206,8 @@ def read_warc(places: DataFrame, with_data: bool = False, chunk: int = CHUNK) ->
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()] + [pa.binary()] * with_data
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
 
-    return places.repartition("file", "at").mapInArrow(read, READ + ", chunk binary" * with_data)
+    # a task per stretch: a row is a few bytes here, and 16 MB of archive
+    return places.repartition(max(1, places.count()), "file", "at").mapInArrow(read, READ + ", chunk binary" * with_data)
 
 
 def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
