@@ -8,6 +8,8 @@ are selected.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +38,7 @@ def fit(docs: DataFrame, good: list[int]) -> np.ndarray:
         from .ngrams import features
 
         raw, target = np.zeros(m, np.int64), np.zeros(m, np.int64)
-        for batch in merge_blocks(batches, limit=2 << 20):
+        for batch in merge_blocks(batches, limit=1 << 20):
             doc, bucket = features(text_bytes(batch.column(1)))
             raw += np.bincount(bucket, minlength=m)
             own = np.array([x in chosen.value for x in batch.column(0).to_pylist()], bool)
@@ -59,7 +61,7 @@ def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     def score(batches):
         from .ngrams import features
 
-        for batch in merge_blocks(batches, limit=2 << 20):
+        for batch in merge_blocks(batches, limit=1 << 20):
             doc, bucket = features(text_bytes(batch.column(1)))
             w = np.bincount(doc, weights=shared.value[bucket], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(w)], names=["doc_id", "text_key", "log_weight"])
@@ -93,8 +95,9 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
 def select(docs: DataFrame, labels: DataFrame, keep_good: float = 0.999, seed: int = 7, max_labels: int = MAX_LABELS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text_key, log_weight, gumbel_key, selected)``, a row per document.
 
-    k is the number of documents whose log weight reaches that of all but
-    ``1 - keep_good`` of the labelled good ones.  Noise comes from a hash of
+    A fifth of the labelled good documents, by a hash of the id, is held out of
+    the target model; k is the number of documents whose log weight reaches that
+    of all but ``1 - keep_good`` of those held out (of all, if none is).  Noise comes from a hash of
     seed, id and text, so a rerun selects the same; rows with the same id and
     text share their key, and rows that tie with the k-th are all selected.  A
     null or empty text has weight zero.  No good label (or no documents):
@@ -103,11 +106,14 @@ def select(docs: DataFrame, labels: DataFrame, keep_good: float = 0.999, seed: i
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sample = labelled_sample(labels, max_labels)
     good = [d for d, ok in sample.items() if ok]
-    scored = written(weights(docs.withColumn("text_key", F.xxhash64("text")), fit(docs, good)), "weights")
+    held = [d for d in good if zlib.crc32(str(d).encode()) % 5 == 0]
+    fitted = [d for d in good if zlib.crc32(str(d).encode()) % 5]
+    held, fitted = held or good, fitted or good
+    scored = written(weights(docs.withColumn("text_key", F.xxhash64("text")), fit(docs, fitted)), "weights")
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_key"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     keyed = scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
     spark = docs.sparkSession
-    ids = F.broadcast(spark.createDataFrame([(d,) for d in good], f"doc_id {scored.schema['doc_id'].dataType.simpleString()}"))  # at most max_labels rows
+    ids = F.broadcast(spark.createDataFrame([(d,) for d in held], f"doc_id {scored.schema['doc_id'].dataType.simpleString()}"))  # at most max_labels rows
     known = sorted(r["log_weight"] for r in scored.join(ids, "doc_id").select("doc_id", "text_key", "log_weight").distinct().limit(2 * max_labels).collect()) if good else []
     if not known:
         return keyed.withColumn("selected", F.lit(True))
