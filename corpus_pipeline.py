@@ -21,7 +21,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints link: that with the smallest id."""
+    """One document of each group whose fingerprints link: that with the smallest id.
+
+    Rows that share an id, or have none, count as one document.
+    """
     found = simhash.near_duplicates(docs)
     gone = found.filter("doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
