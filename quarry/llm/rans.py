@@ -218,7 +218,8 @@ def read_ids(manifest: DataFrame, id_type: str = "bigint", with_ids: bool = Fals
 
     starts = manifest.select("file", (F.sum("n_ids").over(Window.orderBy("number")) - F.col("n_ids")).alias("start"))  # a row per file
     out = f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids
-    return starts.repartition("file").mapInArrow(read, out)
+    # a task per file: a row is a few bytes here, and megabytes of ids
+    return starts.repartition(max(1, manifest.count()), "file").mapInArrow(read, out)
 
 
 def _read_file(uri: str, start: int, with_ids: bool, kind: pa.DataType):
