@@ -20,9 +20,6 @@ def windows(tokens: Column, most: int, overlap: int) -> Column:
     """Array of (s, e, tokens) over an array of the units' token counts."""
     start = F.struct(F.array().cast("array<struct<s:int,e:int,tokens:bigint>>").alias("done"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(0).cast("bigint").alias("sum"))
 
-    def total(s, e):
-        return F.aggregate(F.slice(tokens, s + 1, e - s), F.lit(0).cast("bigint"), lambda a, x: a + x)
-
     def add(state, n):
         full = (state["sum"] + n > most) & (state["e"] > state["s"])
         # the largest tail that fits: count units from the end while they do

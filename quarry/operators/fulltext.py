@@ -118,6 +118,25 @@ def _holds(tree, tf: list[Column]) -> Column:
     return a & b if operator == "AND" else a | b if operator == "OR" else a & ~b
 
 
+def _counted(tree, tf: list[Column], when: Column | None = None) -> dict[int, Column | None]:
+    """Phrases that count in a row's score, each with the condition on which it does (None: always).
+
+    What stands below a part of the query that the row doesn't match, or behind NOT, doesn't count.
+    """
+    if tree is None or isinstance(tree, int):
+        return {} if tree is None else {tree: when}
+    operator, left, right = tree
+    if operator == "NOT":
+        return _counted(left, tf, when)
+    out: dict[int, Column | None] = {}
+    for side in (left, right):
+        own = when
+        if operator == "OR" and not isinstance(side, int):
+            own = _holds(side, tf) if when is None else when & _holds(side, tf)
+        out |= _counted(side, tf, own)
+    return out
+
+
 def search(postings: DataFrame, statistics: DataFrame, text: str, k: int | None = 10, strict: bool = False) -> DataFrame:
     """``(chunk_id, bm25)``, best (lowest) first; ties by chunk_id.  ``strict`` raises where a query isn't valid."""
     try:
@@ -143,12 +162,13 @@ def search(postings: DataFrame, statistics: DataFrame, text: str, k: int | None
     counts = hits.agg(*(F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(distinct))))
     numbers = F.broadcast(counts.crossJoin(statistics))  # one row
     tf = {p: F.col(f"tf_{i}").cast("double") for i, p in enumerate(distinct)}
-    score = None
-    for p in query.phrases:  # a repeated phrase counts again
+    score = F.lit(0.0)
+    for i, when in sorted(_counted(query.tree, [tf[p] for p in query.phrases]).items()):  # a repeated phrase counts again
+        p = query.phrases[i]
         n = F.col(f"df_{distinct.index(p)}").cast("double")
         idf = F.ln((F.col("n_docs") - n + 0.5) / (n + 0.5))
         idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
         part = idf * tf[p] * (K1 + 1) / (tf[p] + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-        score = part if score is None else score + part
+        score = score + (part if when is None else F.when(when, part).otherwise(0.0))
     found = hits.filter(_holds(query.tree, [tf[p] for p in query.phrases])).crossJoin(numbers).select("chunk_id", (-score).alias("bm25"))
     return found if k is None else found.orderBy("bm25", "chunk_id").limit(k)
