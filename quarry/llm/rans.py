@@ -151,9 +151,9 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_i
     def write(batches):
         from pyspark import TaskContext
 
-        from .tokenids import UnitEncoder
+        from .tokenids import worker_encoder
 
-        number, encoder = TaskContext.get().partitionId(), UnitEncoder(tokenizer)
+        number, encoder = TaskContext.get().partitionId(), worker_encoder(tokenizer)
         to = None
         index: dict = {"segments": [], "docs": [], "n": []}
         held, size = [], 0

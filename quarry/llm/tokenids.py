@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -152,6 +153,12 @@ class UnitEncoder:
         lens = np.concatenate([self.lens, lens])
         old = len(self.lens)
         slot[new] = np.arange(old, len(lens))
+        self.flat, self.where, self.lens = flat, where, lens  # before the cache, which points into them
         self.cache.update((units[i], k) for k, i in enumerate(new, old))
-        self.flat, self.where, self.lens = flat, where, lens
         return where[slot], flat, lens[slot]
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> UnitEncoder:
+    """An encoder that a Python worker keeps from task to task, with the units it has met."""
+    return UnitEncoder(path)
