@@ -23,8 +23,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         large = _star(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), larger=True)
         small = written(_star(large, larger=False), "components")
-        # at a fixed point every edge points at a root and no root points on
-        done = small.join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty()
+        # at a fixed point every edge points at a root, no root points on, and no node has two roots
+        done = small.join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty() and small.groupBy("u").count().filter("count > 1").isEmpty()
         drop_written(edges)
         edges = small
         if done:

@@ -221,6 +221,12 @@ def test_components_on_a_path_and_a_hub(spark):
     assert got == {i: 0 for i in range(51)} | {100 + i: 100 for i in range(60)}
 
 
+@pytest.mark.parametrize("path", [(2, 3, 4, 5, 1), (1, 5, 4, 3, 2), (3, 7, 5, 6, 2, 8, 4, 1)])
+def test_components_on_short_permuted_paths(spark, path):
+    got = connected_components(spark.createDataFrame(list(zip(path, path[1:])), "a bigint, b bigint")).collect()
+    assert sorted((r.node, r.component) for r in got) == [(x, 1) for x in sorted(path)]
+
+
 def test_containment(docs, spark):
     texts = dict(x for x in pairs(docs) if x[0] is not None)
     words = decontam_words
