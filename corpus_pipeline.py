@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import common, decontam, packing, resample, simhash
+from quarry.llm import common, copies, decontam, packing, resample
 from quarry.llm.queries import CAPACITY, table, tokenizer
 
 
@@ -21,13 +21,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints link: that with the smallest id.
+    """One document of each group that texts of 0.8 similarity on five-word shingles link: that with the smallest id.
 
-    Rows that share an id, or have none, count as one document.
+    Texts are judged, not ids: rows with one id or none count as one document
+    only if their texts link.  A row without an id stays if its group has no other.
     """
-    found = simhash.near_duplicates(docs)
-    gone = found.filter("doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
+    rows = docs.select("doc_id", copies.text_key(F.col("text")).alias("text_key"))
+    linked = copies.near_copies(docs)
+    classes = rows.join(linked, "text_key", "left").withColumn("component", F.coalesce("component", "text_key"))
+    kept = classes.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("kept"))
+    kept = kept.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_key").alias("kept_key"))
+    keyed = docs.withColumn("text_key_", copies.text_key(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key_") == F.col("kept_key"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_key_"]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,190 @@
+"""Near copies by exact similarity of word shingles.
+
+Two texts whose sets of shingles have Jaccard similarity t or more share one of
+the first n - ceil(t n) + 1 shingles of each, in any order that is the same for
+all texts.  The order is by hash, with shingles that are common in a sample
+last; it decides how much work there is, never what is found.  Pairs that share
+a first shingle, at places that let them be similar enough, are compared by all
+shingles, as 64-bit hashes, unless their marks differ in more bits than their
+sets may in shingles: a bit of a mark is the parity of the shingles that fall on it.
+
+Texts are compared first with the least and the greatest text that share a
+shingle, and linked; then in all pairs whose ends are not yet linked.  So a
+large group of copies costs few comparisons, while one shingle that many
+dissimilar texts have among their first costs as many as it has pairs.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import drop_written, merge_blocks, text_bytes, written
+from .components import connected_components
+
+WIDTH, THRESHOLD = 5, 0.8
+#: Texts whose shingles are counted, texts of these that make a shingle common, and the common ones at most.
+SAMPLE, COMMON, MOST_COMMON = 20_000, 8, 200_000
+#: Rows of a shingle that are compared with all others at once.
+STRETCH = 512
+#: Bits of a mark.
+MARK = 1024
+#: Keys that may be broadcast; beyond it the join shuffles.
+SMALL = 500_000
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of runs of ``width`` words, split and lowered as in simhash; fewer words are one run."""
+    from xxhash import xxh64_intdigest as h
+
+    words = text.lower().split()
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([h(joined, 42)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate([[0], ends[:-width]]).tolist()
+    ends = (ends[width - 1 :] - 1).tolist()
+    return np.unique(np.array([h(joined[a:b], 42) for a, b in zip(starts, ends)], np.uint64))
+
+
+def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray, threshold: float) -> np.ndarray:
+    """The first hashes of a set: by rank among the common ones (sorted), others before them, then by value."""
+    n = len(own) - math.ceil(threshold * len(own) - 1e-9) + 1
+    if not len(common):
+        return own[:n]
+    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    return own[np.argsort(np.where(common[at] == own, rank[at], 0), kind="stable")[:n]]
+
+
+def may_link(at_a, n_a, at_b, n_b, threshold: float, least=np.minimum):
+    """Whether sets of n shingles that share the one at these places can be similar: before and after it they share at most what the shorter side has."""
+    return least(at_a, at_b) + 1 + least(n_a - at_a - 1, n_b - at_b - 1) >= (n_a + n_b) * (threshold / (1 + threshold)) - 1e-9
+
+
+def mark(own: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((own % np.uint64(MARK)).astype(np.int64), minlength=MARK) & 1 == 1).tobytes()
+
+
+def candidates(keys: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, threshold: float):
+    """Pairs of the texts that share one shingle, of different groups and perhaps similar, a stretch at a time."""
+    for s in range(0, len(keys), STRETCH):
+        x, y = np.nonzero(group[s : s + STRETCH, None] != group[None, s:])
+        x, y = x[x < y] + s, y[x < y] + s
+        ok = may_link(at[x], n[x], at[y], n[y], threshold)
+        yield keys[x[ok]], keys[y[ok]]
+
+
+def _first_shingles(texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """``(h, text_key, n, at)``: first shingles, the size of the set, and the shingle's place in it."""
+
+    def every(batches):
+        for batch in merge_blocks(batches, limit=2 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, width) for t in text_bytes(batch.column(1))]).view(np.int64))], names=["h"])
+
+    keys = texts.select(F.approx_count_distinct("text_key")).first()[0]
+    sample = texts.filter(F.pmod(F.xxhash64("text_key"), F.lit(keys // SAMPLE + 1)) == 0).dropDuplicates(["text_key"])
+    counted = sample.mapInArrow(every, "h bigint").groupBy("h").count().filter(F.col("count") >= COMMON)
+    found = sorted((r["h"] % 2**64, r["count"]) for r in counted.orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect())
+    shared = texts.sparkSession.sparkContext.broadcast((np.array([h for h, _ in found], np.uint64), np.array([n for _, n in found], np.int64)))
+
+    def firsts(batches):
+        common, rank = shared.value
+        for batch in merge_blocks(batches, limit=2 << 20):
+            whole = [shingles(t, width) for t in text_bytes(batch.column(1))]
+            own = [prefix(x, common, rank, threshold) for x in whole]
+            each = lambda x: pa.array(np.repeat(x, [len(x) for x in own]))  # noqa: E731, B023
+            at = pa.array(np.concatenate([np.arange(len(x), dtype=np.int32) for x in own]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), each(batch.column(0).to_numpy(zero_copy_only=False)), each(np.array([len(x) for x in whole], np.int32)), at], names=["h", "text_key", "n", "at"])
+
+    return texts.mapInArrow(firsts, "h bigint, text_key bigint, n int, at int")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs ``(a, b)`` that are similar to ``threshold`` or more."""
+
+    def compare(batches):
+        key, held = None, None
+        for batch in batches:
+            keep = []
+            for k, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()))):
+                if key != a:  # rows of one text follow one another
+                    key, held = a, shingles(x.as_py() or b"", width)
+                other = shingles(y.as_py() or b"", width)
+                both = len(np.intersect1d(held, other, assume_unique=True))
+                if both >= threshold * (len(held) + len(other) - both) - 1e-9:
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
+
+    def near(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (3, 5))
+            n = batch.column(2).to_numpy(zero_copy_only=False) + batch.column(4).to_numpy(zero_copy_only=False)
+            ok = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= n * ((1 - threshold) / (1 + threshold)) + 1e-6
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in (0, 1)], names=["a", "b"])
+
+    marks = lambda x: texts.select(F.col("text_key").alias(x), F.col("n").alias(f"n_{x}"), F.col("mark").alias(f"mark_{x}"))
+    marked = pairs.join(marks("b"), "b").join(marks("a"), "a").select("a", "b", "n_a", "mark_a", "n_b", "mark_b")
+    pairs = written(marked.mapInArrow(near, "a bigint, b bigint"), "near_pairs")
+    side = lambda x: texts.select(F.col("text_key").alias(x), F.col("text").alias(f"text_{x}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint")
+
+
+def near_copies(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """``(text_key, component)``: distinct texts that links of similar texts join to others, by the hash of each."""
+    texts = docs.select(text_key(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    firsts = written(_first_shingles(texts, width, threshold), "first_shingles")
+    least = firsts.groupBy("h").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).filter("lo <> hi").select("h")
+    shared = written(firsts.join(least, "h").distinct(), "shared_shingles")
+    drop_written(firsts)
+    keys = written(shared.select("text_key").distinct(), "candidates")
+
+    def marked(batches):
+        for batch in merge_blocks(batches, limit=2 << 20):
+            own = [shingles(t, width) for t in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(x) for x in own], pa.int64()), pa.array([mark(x) for x in own], pa.binary())], names=["text_key", "text", "n", "mark"])
+
+    texts = texts.join(F.broadcast(keys) if keys.count() <= SMALL else keys, "text_key").dropDuplicates(["text_key"]).select("text_key", "text")
+    texts = written(texts.mapInArrow(marked, "text_key bigint, text string, n bigint, mark binary"), "candidate_texts")
+
+    row = F.struct("text_key", "n", "at")
+    ends = shared.groupBy("h").agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
+    ends = ends.select("h", F.explode(F.array("lo", "hi")).alias("end"))
+    possible = may_link(F.col("at"), F.col("n"), F.col("end.at"), F.col("end.n"), threshold, F.least)
+    stars = shared.join(ends, "h").filter(possible & (F.col("text_key") != F.col("end.text_key"))).select(F.least("text_key", "end.text_key").alias("a"), F.greatest("text_key", "end.text_key").alias("b")).distinct()
+    linked = written(_similar(written(stars, "stars"), texts, width, threshold), "linked")
+    groups = connected_components(linked).withColumnsRenamed({"node": "text_key", "component": "group"})
+
+    def pairs(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            h = held.column(0).to_numpy(zero_copy_only=False)
+            start = int(np.searchsorted(h, h[-1], "left")) if len(h) else 0  # the last run may go on
+            yield from of_runs(held.slice(0, start))
+            held = held.slice(start)
+        if held is not None:
+            yield from of_runs(held)
+
+    def of_runs(batch):
+        h, *cols = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        cuts = np.r_[0, np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)] if len(h) else [0]
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            for a, b in candidates(*(c[s:e] for c in cols), threshold):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    grouped = shared.join(groups, "text_key", "left").select("h", "text_key", "n", "at", F.coalesce("group", "text_key").alias("group"))
+    grouped = grouped.repartition("h").sortWithinPartitions("h")
+    rest = written(grouped.mapInArrow(pairs, "a bigint, b bigint").distinct(), "rest")
+    rest = written(_similar(rest, texts, width, threshold), "linked")
+    return connected_components(linked.unionByName(rest)).withColumnsRenamed({"node": "text_key"})

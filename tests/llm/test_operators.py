@@ -329,6 +329,29 @@ def test_pipeline_stages(spark, tmp_path, docs):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_near_copies(spark):
+    import corpus_pipeline
+
+    def cut(text):
+        w = text.encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    rng = random.Random(3)
+    texts = [prose(rng.randint(1, 120)) for _ in range(150)]
+    for t in texts[:100]:
+        w = t.split()
+        for at in rng.sample(range(len(w)), rng.randint(1, 1 + len(w) // 40)):
+            w[at] = "changed"
+        texts.append(" ".join(w))
+    texts += ["", None, " \n", "one", "One", *(" ".join(["start", "of", "a", "common", "line"] * 4) + f" {i % 40}" for i in range(600))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    sets = [cut(t or "") for t in texts]
+    root = classes(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9)
+    want = [i for i in range(len(texts)) if root.index(root[i]) == i]
+    assert len(want) < len(texts) - 50
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == want
+
+
 def decontam_words(text):
     import regex
 
