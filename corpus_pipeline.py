@@ -37,9 +37,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item to 0.8 or more."""
-    bad = common.written(decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_id")).distinct(), "leaks")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(docs.columns)
+    """Documents whose own text contains no benchmark item to 0.8 or more; rows with the same id or none are judged apart."""
+    key = copies.text_key(F.col("text"))
+    found = decontam.contaminated(docs.select(key.alias("text_key"), "text"), table(spark, sf_dir, "benchmark"), id_col="text_key")
+    bad = common.written(found.select(F.col("doc_id").alias("bad_key")).distinct(), "leaks")
+    return docs.join(bad, key == F.col("bad_key"), "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -352,6 +352,24 @@ def test_near_copies(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == want
 
 
+def test_stages_judge_texts_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    a, b, c, d, e, leak, near = ([rng.choice(VOCABULARY) for _ in range(80)] for _ in range(7))
+    near = a[:-1] + ["zz"]  # links to a, whose id is smaller
+    rows = [(None, b), (None, c), (None, leak), (None, near), (1, a), (7, d), (7, near), (7, leak + b), (7, e), (7, e)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string")
+    spark.createDataFrame([(1, " ".join(leak[:40]))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = lambda x: collections.Counter((r.doc_id, r.text) for r in x.collect())
+    text = lambda want: collections.Counter((i, " ".join(t)) for i, t in want)
+    assert kept(corpus_pipeline.near_duplicates(spark, df, "")) == text([(None, b), (None, c), (None, leak), (1, a), (7, d), (7, leak + b), (7, e)])
+    assert kept(corpus_pipeline.decontamination(spark, df, str(tmp_path))) == text([r for r in rows if r[1] not in (leak, leak + b)])
+    df.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (7, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
 def decontam_words(text):
     import regex
 
