@@ -87,19 +87,27 @@ def query(vectors: DataFrame, q: Sequence[float], k: int | None = None, metric:
     return out.select("id", score(F.col("distance"), metric).alias("score"), "namespace", *more)
 
 
-def batch_nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "values") -> DataFrame:
-    """``(query_id, id, distance)``: the k nearest by L2 of every row of ``queries`` (query_id, values), a stated set.
+def batch_nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "values", digits: int | None = None, block: int = 10_000) -> DataFrame:
+    """``(query_id, id, distance)``: the k nearest by L2, then id, of every row of ``queries`` (query_id, values), a stated set.
 
-    Queries are sent to the executors, which is why there may be 10,000 of them
-    at most; each task keeps its k best for each, and k a query and task are ranked.
+    With ``digits``, distances that round alike are equally near.  Queries are
+    sent to the executors in blocks; each task keeps its k best for each, and k
+    a query and task are ranked.
     """
+    from itertools import batched
+
+    parts = [_block_nearest(vectors, queries, rows, k, id_col, vector_col, digits) for rows in batched(queries.select("query_id", "values").toLocalIterator(), block)]
+    out = parts[0] if parts else _block_nearest(vectors, queries, (), k, id_col, vector_col, digits)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _block_nearest(vectors: DataFrame, queries: DataFrame, rows: Sequence, k: int, id_col: str, vector_col: str, digits: int | None) -> DataFrame:
     import numpy as np
     import pandas as pd
     from pyspark.sql import Window
 
-    rows = queries.select("query_id", "values").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("at most 10,000 queries at once")
     ids = [r["query_id"] for r in rows]
     matrix = np.array([r["values"] for r in rows], np.float64)
     shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, (matrix**2).sum(1) if len(rows) else None))
@@ -111,11 +119,18 @@ def batch_nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
             if not len(pdf) or not len(ids):
                 continue
             x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            d = np.sqrt(np.maximum(0, qq[:, None] - 2 * q @ x.T + (x**2).sum(1)))
-            n = min(k, x.shape[0])
-            top = np.argpartition(d, n - 1, 1)[:, :n]
-            yield pd.DataFrame({"query_id": np.repeat(ids, n), "id": pdf["id"].to_numpy()[top.ravel()], "distance": np.take_along_axis(d, top, 1).ravel()})
+            xx, own, n = (x**2).sum(1), pdf["id"].to_numpy(), min(k, x.shape[0])
+            for s in range(0, len(ids), 500):
+                d = np.sqrt(np.maximum(0, qq[s : s + 500, None] - 2 * q[s : s + 500] @ x.T + xx))
+                d_ = d if digits is None else np.round(d, digits)
+                most = np.partition(d_, n - 1, 1)[:, n - 1]
+                top = []
+                for i in range(len(d)):
+                    tied = np.flatnonzero(d_[i] <= most[i])
+                    top.append(tied[np.lexsort((own[tied], d_[i][tied]))[:n]])
+                top = np.stack(top)
+                yield pd.DataFrame({"query_id": np.repeat(ids[s : s + 500], n), "id": own[top.ravel()], "distance": np.take_along_axis(d, top, 1).ravel()})
 
     near = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(best, f"query_id {kinds[0]}, id {kinds[1]}, distance double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance" if digits is None else F.round("distance", digits), "id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")

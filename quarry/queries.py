@@ -146,7 +146,7 @@ def knn_batch(spark, sf_dir):
     from pyspark.sql import Window
 
     e = table(spark, sf_dir, "embeddings")
-    near = V.batch_nearest(e, e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("values")), 12, "vec_id", "embedding")
+    near = V.batch_nearest(e, e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("values")), 10, "vec_id", "embedding", digits=6)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 6), "id"))
     return near.withColumn("rank", rank).filter("rank <= 10").select("query_id", "id", "rank")
 

@@ -151,3 +151,13 @@ def test_batch_nearest_equals_single(spark):
     for q in df.filter("id < 3").collect():
         want = [r.id for r in V.nearest(df, q["values"], 5).collect()]
         assert [r.id for r in sorted(got, key=lambda r: (r.distance, r.id)) if r.query_id == q.id] == want
+
+
+def test_batch_nearest_ties_and_blocks(spark):
+    from quarry.operators import vectors as V
+
+    rows = [(i, [1.0, 2.0]) for i in range(40, 0, -1)] + [(100, [5.0, 5.0])]
+    v = spark.createDataFrame(rows, "id bigint, values array<double>").coalesce(1)
+    q = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(5)], "query_id bigint, values array<double>")
+    got = {(r.query_id, r.id) for r in V.batch_nearest(v, q, 10, digits=6, block=2).collect()}
+    assert got == {(i, j) for i in range(5) for j in range(1, 11)}
