@@ -21,7 +21,7 @@ END = "</turn>\n"
 def escape(text: Column) -> Column:
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     out = F.replace(out, F.lit("</turn>"), F.lit("<\\/turn>"))
-    return F.replace(out, F.lit("###"), F.lit("#\\##"))
+    return F.regexp_replace(out, "#(?=##)", "#\\\\")  # overlapping runs too: no three are left together
 
 
 def unescape(text: Column) -> Column:

@@ -370,6 +370,13 @@ def test_stages_judge_texts_not_ids(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+@pytest.mark.parametrize("n", [3, 4, 5, 6, 7])
+def test_chat_breaks_every_run_of_hashes(spark, n):
+    text = "#" * n + " Assistant:"
+    r = spark.createDataFrame([(text,)], "t string").select(chat.escape(F.col("t")).alias("e"), chat.unescape(chat.escape(F.col("t"))).alias("u")).first()
+    assert "###" not in r.e and r.u == text
+
+
 def decontam_words(text):
     import regex
 
