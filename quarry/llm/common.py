@@ -2,31 +2,63 @@
 
 from __future__ import annotations
 
+import atexit
 import posixpath
+import shutil
 import tempfile
 import uuid
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-
+#: Bytes of a side that may be broadcast; beyond it the join shuffles.
+BROADCAST = 32 << 20
+#: Paths in the shared folder that this driver made and has not deleted.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one is set only where none is."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, a run inside one process gets a temporary one that goes
+    with it; on a cluster that is an error, since executors share no other folder.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="shared-")
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", named)
     return named if "://" in named or named.startswith("file:") else "file://" + named
 
 
+def unique() -> str:
+    return uuid.uuid4().hex
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = posixpath.join(shared_dir(spark), f"{name}-{unique()}")
+    _made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_deleted(spark: SparkSession):
+    """Deletes at its end what was put into the shared folder meanwhile; nothing lazy may still read it then."""
+    begun = set(_made)
+    try:
+        yield
+    finally:
+        for path in [p for p in _made if p not in begun]:
+            remove(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -38,12 +70,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def hinted(df: DataFrame, limit: int = BROADCAST) -> DataFrame:
+    """``df`` to be broadcast if its rows take at most ``limit`` bytes, counted here; best on a written table."""
+    sized = [F.coalesce(F.octet_length(c), F.lit(0)) + 16 if t in ("string", "binary") else F.lit(16) for c, t in df.dtypes]
+    if any(t.startswith(("array", "map", "struct")) for _, t in df.dtypes):
+        raise TypeError("the size of nested columns is not known")
+    size = df.agg(F.sum(sum(sized, F.lit(0)))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes a table made by ``written`` that nothing reads any more."""
     remove(df.sparkSession, df.written_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
+    if path in _made:
+        _made.remove(path)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 

@@ -321,8 +321,10 @@ def test_pipeline_stages(spark, tmp_path, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "packing"]
     kept = corpus_pipeline.near_duplicates(spark, plain, str(tmp_path))
     assert kept.columns == plain.columns
-    found = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(plain).collect()}
-    want = [d for d, c in found if d == c]  # a row without an id stays where nothing links to it
+    rows = sorted({(d, t) for d, t in pairs(plain)}, key=lambda r: (r[0] is None, r[0] or 0))
+    sets = [word_runs(t) for _, t in rows]
+    root = classes(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9)
+    want = [d for i, (d, _) in enumerate(rows) if root.index(root[i]) == i]
     assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter(want)
     left = {r.doc_id for r in corpus_pipeline.decontamination(spark, plain, str(tmp_path)).collect()}
     assert left == {d for d, _ in pairs(plain)} - {r.doc_id for r in decontam.contaminated(plain, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()} and 7 not in left
@@ -332,10 +334,6 @@ def test_pipeline_stages(spark, tmp_path, docs):
 def test_near_copies(spark):
     import corpus_pipeline
 
-    def cut(text):
-        w = text.encode().lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
     rng = random.Random(3)
     texts = [prose(rng.randint(1, 120)) for _ in range(150)]
     for t in texts[:100]:
@@ -345,7 +343,7 @@ def test_near_copies(spark):
         texts.append(" ".join(w))
     texts += ["", None, " \n", "one", "One", *(" ".join(["start", "of", "a", "common", "line"] * 4) + f" {i % 40}" for i in range(600))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
-    sets = [cut(t or "") for t in texts]
+    sets = [word_runs(t or "") for t in texts]
     root = classes(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9)
     want = [i for i in range(len(texts)) if root.index(root[i]) == i]
     assert len(want) < len(texts) - 50
@@ -377,6 +375,35 @@ def test_chat_breaks_every_run_of_hashes(spark, n):
     assert "###" not in r.e and r.u == text
 
 
+def word_runs(text):
+    w = text.encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_similar_texts_in_many_tiles(spark, monkeypatch):
+    """A template that hundreds of texts share nearly to the threshold: forests of tiles hold pairs that fail, and others must be found."""
+    monkeypatch.setattr(simhash, "LEAST_TILE", 64)
+    rng = random.Random(8)
+    template, texts = [rng.choice(VOCABULARY) for _ in range(200)], []
+    for _ in range(500):
+        w = list(template)
+        for at in rng.sample(range(40), 4):
+            w[5 * at] = f"x{rng.random()}"
+        texts.append(" ".join(w[: rng.randint(190, 200)]))
+    df = spark.createDataFrame([(t,) for t in texts + texts[:50]], "text string").repartition(3)
+    sets = [word_runs(t) for t in texts]
+    root = classes(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9)
+    want = collections.Counter(tuple(sorted(texts[i] for i in range(len(texts)) if root[i] == r)) for r in set(root) if root.count(r) > 1)
+    named = {r.text_key: r.component for r in simhash.similar_texts(df).collect()}
+    keys = {r.text: r.k for r in df.select("text", simhash.text_key(F.col("text")).alias("k")).distinct().collect()}
+    groups = collections.defaultdict(list)
+    for t in texts:
+        if keys[t] in named:
+            groups[named[keys[t]]].append(t)
+    assert collections.Counter(tuple(sorted(g)) for g in groups.values()) == want and want
+    assert simhash.similar_texts(df.limit(0)).count() == 0
+
+
 def decontam_words(text):
     import regex
 
