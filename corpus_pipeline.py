@@ -29,10 +29,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     key = simhash.text_key(F.col("text"))
     rows = common.written(docs.groupBy("doc_id", key.alias("text_key")).agg(F.count("*").alias("n")), "rows")
-    classes = rows.join(simhash.similar_texts(docs), "text_key", "left").withColumn("component", F.coalesce("component", "text_key"))
-    classes = common.written(classes, "classes")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
-    others = classes.join(classes.groupBy("component").agg(first), "component").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))))
+    # minima are summed up before a shuffle, and rows are matched by id and text together, so no large group meets in a task
+    first = lambda *names: F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *names)).alias("first")
+    texts = rows.groupBy("text_key").agg(first()).select("text_key", "first.doc_id")
+    classes = texts.join(simhash.similar_texts(docs), "text_key", "left").groupBy(F.coalesce("component", "text_key").alias("component")).agg(first("text_key"))
+    kept = classes.select(F.col("first.doc_id").alias("id_"), F.col("first.text_key").alias("key_"))
+    others = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_")), "left_anti")
     gone = common.written(others.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")), "copies")
     repeated = common.written(rows.filter("n > 1").select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")), "repeated")
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & (key == F.col("key_"))
