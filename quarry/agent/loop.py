@@ -17,8 +17,11 @@ from .tools import Result, Tool, format_chunks
 FINAL = re.compile(r"(?:^|\n)\s*FINAL:\s*", re.I)
 _FENCED = re.compile(r"```tool\s*\n?(.*?)\n?```", re.S)
 _OBJECT = re.compile(r"\{[^{}]*\}")
-_LEAD = re.compile(r"^(what is|what are|how do i|how do|how to|how can i|where is|where do i|when do|why does|why is|who is|can i|can you|tell me about|explain|describe|show me)\s+(an?\s+)?", re.I)
-_ASKING = re.compile(r"^(what|how|why|when|where|who|is|are|do|does|can|could|would|should)\s+", re.I)
+#: Words and phrases that open a question (fixed values).
+ASKING = ("what", "how", "why", "when", "where", "who", "is", "are", "do", "does", "can", "could", "would", "should")
+LEAD = ("what is", "what are", "how do", "how to", "how can", "tell me about", "explain", "describe", *ASKING)
+_LEAD = re.compile(r"^(" + "|".join(x.replace(" ", r"\s+") for x in LEAD) + r")\s+(an?\s+)?", re.I)
+_ASKING = re.compile(r"^(" + "|".join(ASKING) + r")\s+", re.I)
 _RETRIES, _PRESEARCH, _QUERY = 2, 5, 100
 
 INSTRUCTIONS = "Answer from the documents alone. Call one of the tools below, or give your answer behind FINAL: with citations such as [1].\n\n{{TOOLS}}"
@@ -58,7 +61,7 @@ def final_answer(reply: str) -> str | None:
 
 def presearch_query(question: str) -> str:
     """The question without its opening phrase and punctuation; empty if too little is left."""
-    bare = re.sub(r"[?!.,;:'\"]", "", _LEAD.sub("", question.strip())).strip()[:_QUERY]
+    bare = re.sub(r"[?!.,;:'\"]", "", _LEAD.sub("", question)).strip()[:_QUERY]
     return bare if len(bare) >= 2 else ""
 
 

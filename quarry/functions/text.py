@@ -11,10 +11,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _folds() -> tuple[str, str]:
-    """Accented Latin letters and the letters they fold to, by their canonical decomposition."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250)]
-    pairs = [(a, b) for a, b in pairs if b.isascii() and b.isalpha()]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    """Latin letters with one accent and the letters they fold to, by their canonical decomposition; then accents on their own, which go."""
+    parts = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    pairs = [(a, b[0]) for a, b in parts if len(b) == 2 and b[0].isascii() and b[0].isalpha()]
+    return "".join(a for a, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in pairs)
 
 
 FOLDED, FOLDS_TO = _folds()
@@ -94,14 +94,16 @@ def snippet(c: Column, size: int = 200) -> Column:
 
 
 def java_hash(c: Column) -> Column:
-    """31 h + c over characters, wrapped to 32 bits: an INT value as BIGINT."""
-    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("bigint"))
+    """31 h + c over UTF-16 units, wrapped to 32 bits: an INT value as BIGINT."""
+    units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit(".{4}"), F.lit(0))
+    codes = F.transform(units, lambda x: F.conv(x, 16, 10).cast("bigint"))
     span, half = 1 << 32, 1 << 31
     return F.aggregate(codes, F.lit(0).cast("bigint"), lambda h, x: F.pmod(h * 31 + x + half, F.lit(span)) - half)
 
 
 def mock_embedding(c: Column, dim: int) -> Column:
     """The deterministic test vector of a text: normalised 0.5 sin(hash + j) + 0.5."""
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.sin((java_hash(c) + j).cast("double")) * 0.5 + 0.5)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: x / norm)
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  a lambda's variable is worked out once
+    raw = lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.sin((h + j).cast("double")) * 0.5 + 0.5)
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return once(once(java_hash(c), raw), lambda v: F.zip_with(v, F.array_repeat(norm(v), dim), lambda x, n: x / n))

@@ -21,7 +21,7 @@ COLUMNS = ("chunk_id", "title", "section", "content", "tags")
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Characters that are blanked before a query is parsed.
 BLANKED = "'\"*()^:-"
-_FOLD = str.maketrans(FOLDED, FOLDS_TO)
+_FOLD = str.maketrans(FOLDED[: len(FOLDS_TO)], FOLDS_TO, FOLDED[len(FOLDS_TO) :])
 
 
 class QueryError(ValueError):
@@ -137,20 +137,20 @@ def _counted(tree, tf: list[Column], when: Column | None = None) -> dict[int, Co
     return out
 
 
-def search(postings: DataFrame, statistics: DataFrame, text: str, k: int | None = 10, strict: bool = False) -> DataFrame:
-    """``(chunk_id, bm25)``, best (lowest) first; ties by chunk_id.  ``strict`` raises where a query isn't valid."""
+def _parsed(text: str, strict: bool) -> Query | None:
     try:
-        query = parse_query(text)
+        return parse_query(text)
     except QueryError:
         if strict:
             raise
-        query = None
-    if query is None:
-        return postings.select("chunk_id", F.lit(0.0).alias("bm25")).limit(0)
-    wanted = sorted({t for p in query.phrases for t in p})
+        return None
+
+
+def hits_of(postings: DataFrame, phrases: list[tuple[str, ...]]) -> DataFrame:
+    """``(chunk_id, doc_len, tf_0, ...)`` of the chunks that hold any of the phrases' words: how often each phrase stands in them."""
+    wanted = sorted({t for p in phrases for t in p})
     name = {t: f"pos_{i}" for i, t in enumerate(wanted)}
     hits = postings.filter(F.col("term").isin(wanted)).groupBy("chunk_id").agg(F.max("doc_len").alias("doc_len"), *(F.collect_list(F.when(F.col("term") == t, F.col("pos"))).alias(name[t]) for t in wanted))
-    distinct = list(dict.fromkeys(query.phrases))
 
     def frequency(phrase):
         if len(phrase) == 1:
@@ -158,9 +158,43 @@ def search(postings: DataFrame, statistics: DataFrame, text: str, k: int | None
         follows = lambda p: reduce(lambda a, b: a & b, [F.array_contains(F.col(name[t]), p + i) for i, t in enumerate(phrase) if i])
         return F.size(F.filter(name[phrase[0]], follows))
 
-    hits = hits.select("chunk_id", "doc_len", *(frequency(p).alias(f"tf_{i}") for i, p in enumerate(distinct)))
+    return hits.select("chunk_id", "doc_len", *(frequency(p).alias(f"tf_{i}") for i, p in enumerate(phrases)))
+
+
+def search(postings: DataFrame, statistics: DataFrame, text: str, k: int | None = 10, strict: bool = False) -> DataFrame:
+    """``(chunk_id, bm25)``, best (lowest) first; ties by chunk_id.  ``strict`` raises where a query isn't valid."""
+    query = _parsed(text, strict)
+    if query is None:
+        return postings.select("chunk_id", F.lit(0.0).alias("bm25")).limit(0)
+    distinct = list(dict.fromkeys(query.phrases))
+    hits = hits_of(postings, distinct)
     counts = hits.agg(*(F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(distinct))))
-    numbers = F.broadcast(counts.crossJoin(statistics))  # one row
+    return _ranked(hits, counts.crossJoin(statistics), query, k)
+
+
+def scan(chunks: DataFrame, text: str, k: int | None = 10, strict: bool = False, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """What ``search`` gives, without an index: one pass takes the statistics, another tokenises only the chunks in which the words occur; nothing is shuffled but sums and the best rows."""
+    query = _parsed(text, strict)
+    if query is None:
+        return chunks.select("chunk_id", F.lit(0.0).alias("bm25")).limit(0)
+    distinct = list(dict.fromkeys(query.phrases))
+
+    def frequency(phrase):
+        at = lambda x, i: reduce(lambda a, b: a & b, [x == phrase[0], *(F.get("tokens", i + n) == t for n, t in enumerate(phrase) if n)])
+        return F.size(F.filter("tokens", at if len(phrase) > 1 else lambda x: x == phrase[0]))
+
+    counted = lambda rows: indexed(rows, columns).select("chunk_id", "doc_len", *(frequency(p).alias(f"tf_{i}") for i, p in enumerate(distinct)))
+    numbers = counted(chunks).agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"), *(F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(distinct))))
+    kinds = dict(chunks.dtypes)
+    plain = [F.lower(F.translate(F.coalesce(F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c).cast("string"), F.lit("")), FOLDED, FOLDS_TO)) for c in columns]
+    holds = lambda t: reduce(lambda a, b: a | b, [F.contains(c, F.lit(t)) for c in plain])
+    some = chunks.filter(reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [holds(t) for t in dict.fromkeys(p)]) for p in distinct]))
+    return _ranked(counted(some), numbers, query, k)
+
+
+def _ranked(hits: DataFrame, numbers: DataFrame, query: Query, k: int | None) -> DataFrame:
+    distinct = list(dict.fromkeys(query.phrases))
+    numbers = F.broadcast(numbers)  # one row
     tf = {p: F.col(f"tf_{i}").cast("double") for i, p in enumerate(distinct)}
     score = F.lit(0.0)
     for i, when in sorted(_counted(query.tree, [tf[p] for p in query.phrases]).items()):  # a repeated phrase counts again

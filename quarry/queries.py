@@ -61,8 +61,7 @@ SELECT chunk_id, bm25 FROM r ORDER BY bm25, chunk_id LIMIT {k}"""
 
 
 def _fts(spark, sf_dir, text: str, k: int = 10) -> DataFrame:
-    index = FT.indexed(chunks(spark, sf_dir))
-    found = FT.search(FT.postings(index), FT.statistics(index), text, k=None).withColumn("bm25", F.round("bm25", 12))
+    found = FT.scan(chunks(spark, sf_dir), text, k=None).withColumn("bm25", F.round("bm25", 12))
     return found.orderBy("bm25", "chunk_id").limit(k)
 
 
@@ -86,8 +85,15 @@ SELECT chunk_id, len(list_filter(range(1, len(t)), lambda k: t[k] = 'of' AND t[k
 def fts_phrase_counts(spark, sf_dir):
     """How often the phrase ``of the`` stands in each content."""
     index = FT.indexed(chunks(spark, sf_dir), ("content",))
-    hits = FT.postings(index).filter(F.col("term").isin("of", "the")).groupBy("chunk_id").agg(*(F.collect_list(F.when(F.col("term") == t, F.col("pos"))).alias(t) for t in ("of", "the")))
-    return hits.select("chunk_id", F.size(F.filter("of", lambda p: F.array_contains(F.col("the"), p + 1))).cast("bigint").alias("n")).filter("n > 0")
+    return FT.hits_of(FT.postings(index), [("of", "the")]).select("chunk_id", F.col("tf_0").cast("bigint").alias("n")).filter("n > 0")
+
+
+@query(_fts_sql(["ther", "than"], "tf0 > 0 AND tf1 > 0"))
+def fts_postings(spark, sf_dir):
+    """``fts_and`` by postings, as an index has them."""
+    index = FT.indexed(chunks(spark, sf_dir))
+    found = FT.search(FT.postings(index), FT.statistics(index), "ther than", k=None).withColumn("bm25", F.round("bm25", 12))
+    return found.orderBy("bm25", "chunk_id").limit(10)
 
 
 # -- literal -----------------------------------------------------------------
@@ -190,13 +196,14 @@ def list_vectors_page(spark, sf_dir):
 
 
 def _batch(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """A table of the vectors below 200 and a batch of those above 100, each twice."""
+    """All vectors, and a batch of as many with twice their ids, each twice: some are in the table, others are not."""
     v = vectors(spark, sf_dir)
-    batch = v.filter("vec_id > 100").select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("take"), "vec_id").withColumn("pos", F.col("take") * 1_000_000 + F.col("vec_id"))
-    return v.filter("vec_id < 200").select("id", F.lit(0).alias("take")), batch.select("id", "take", "pos")
+    doubled = F.lpad((2 * F.col("vec_id")).cast("string"), 8, "0").alias("id")
+    batch = v.select(doubled, F.explode(F.array(F.lit(1), F.lit(2))).alias("take"), F.col("take").alias("pos"))
+    return v.select("id", F.lit(0).alias("take")), batch
 
 
-BATCH = f"WITH {VECTORS}, old AS (SELECT id, 0 AS take FROM v WHERE vec_id < 200), new AS (SELECT id, t AS take FROM v, (VALUES (1), (2)) x(t) WHERE vec_id > 100)"
+BATCH = f"WITH {VECTORS}, old AS (SELECT id, 0 AS take FROM v), new AS (SELECT lpad((2 * vec_id)::VARCHAR, 8, '0') AS id, t AS take FROM v, (VALUES (1), (2)) x(t))"
 
 
 @query(f"{BATCH} SELECT id, take FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT id, max(take) FROM new GROUP BY id")
@@ -222,8 +229,7 @@ def delete_by_ids(spark, sf_dir):
 
 def _hybrid(spark, sf_dir, text: str) -> DataFrame:
     c = chunks(spark, sf_dir)
-    index = FT.indexed(c)
-    found = FT.search(FT.postings(index), FT.statistics(index), text, k=None).withColumn("bm25", F.round("bm25", 12)).orderBy("bm25", "chunk_id").limit(20)
+    found = FT.scan(c, text, k=None).withColumn("bm25", F.round("bm25", 12)).orderBy("bm25", "chunk_id").limit(20)
     joined = c.join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"))
     near = joined.withColumn("distance", V.l2(F.col("embedding"), _first(spark, sf_dir))).select("chunk_id", "content", "distance").orderBy("distance", "chunk_id").limit(30)
     return fuse(near, found).select("chunk_id", F.round("score", 6).alias("score"), "v_rank", "f_rank")
@@ -366,19 +372,28 @@ def page_urls(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.url(path, "docs").alias("url"), T.section(path, "docs").alias("section"))
 
 
-HASH = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(text, ''), lambda x: unicode(x)::BIGINT)), lambda h, x: ((h * 31 + x + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)"
+def _hash_sql() -> str:
+    """The hash as a sum of units times powers of 31, which are products of four powers from lists of 64."""
+    wrap = 1 << 32
+    factor = lambda k: f"([{', '.join(str(pow(31, d * 64**k, wrap)) for d in range(64))}])[((len(u) - i) // {64**k}) % 64 + 1]::HUGEINT"
+    power = factor(0)
+    for k in range(1, 4):
+        power = f"({power} * {factor(k)}) % {wrap}"
+    units = "flatten(list_transform(string_split(text, ''), lambda x: CASE WHEN unicode(x) > 65535 THEN [55296 + (unicode(x) - 65536) // 1024, 56320 + (unicode(x) - 65536) % 1024] ELSE [unicode(x)] END))"
+    total = f"coalesce(list_sum(list_transform(u, lambda x, i: (x * ({power})) % {wrap})), 0)::HUGEINT"
+    return f"u AS (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE {units} END AS u FROM documents), h AS (SELECT doc_id, ((({total} + {wrap >> 1}) % {wrap}) - {wrap >> 1})::BIGINT AS h FROM u)"
 
 
-@query(f"SELECT doc_id, {HASH} AS h FROM documents WHERE length(text) BETWEEN 1 AND 300")
+@query(f"WITH {_hash_sql()} SELECT doc_id, h FROM h")
 def mock_embedding_hash(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("length(text) BETWEEN 1 AND 300").select("doc_id", T.java_hash(F.col("text")).alias("h"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.java_hash(F.col("text")).alias("h"))
 
 
-@query(f"""WITH a AS (SELECT doc_id, {HASH} AS h FROM documents WHERE length(text) BETWEEN 1 AND 300), r AS (SELECT doc_id, list_transform(range(0, 8), lambda j: sin((h + j)::DOUBLE) * 0.5::DOUBLE + 0.5::DOUBLE) AS v FROM a)
-SELECT doc_id, unnest(range(0, 8))::INTEGER AS j, round(unnest(v) / sqrt(list_dot_product(v, v)), 6) AS x FROM r""")
+@query(f"""WITH {_hash_sql()}, r AS (SELECT doc_id, list_transform(range(0, 64), lambda j: sin((h + j)::DOUBLE) * 0.5::DOUBLE + 0.5::DOUBLE) AS v FROM h)
+SELECT doc_id, unnest(range(0, 64))::INTEGER AS j, round(unnest(v) / sqrt(list_dot_product(v, v)), 6) AS x FROM r""")
 def mock_embedding(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("length(text) BETWEEN 1 AND 300")
-    return d.select("doc_id", F.posexplode(T.mock_embedding(F.col("text"), 8)).alias("j", "x")).withColumn("x", F.round("x", 6))
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(T.mock_embedding(F.col("text"), 64)).alias("j", "x")).withColumn("x", F.round("x", 6))
 
 
 # -- builds ------------------------------------------------------------------

@@ -40,3 +40,15 @@ def test_vectors_in_lines(spark, tmp_path):
     (tmp_path / "w.json").write_text('{"id":"a"\n')
     with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
         read_vectors(spark, str(tmp_path / "w.json")).collect()
+
+
+def test_names_that_begin_with_an_underscore_are_files(spark, tmp_path):
+    kept = ["a/_index.md", "a/b.md", "_sec/z.md", "x.TXT", "d.assets.md", ".hidden.md"]
+    for name in [*kept, "node_modules/n.md", "dist/n.md", ".git/n.md", "a/pics.assets/n.md", "a/.x/n.md", "a/b.png", "plain", ".md"]:
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(name)
+    got = {r.path: bytes(r.content).decode() for r in find_files(spark, str(tmp_path)).collect()}
+    assert got == {n: n for n in kept}
+    assert find_files(spark, f"file://{tmp_path}/a").count() == 2
+    assert find_files(spark, f"{tmp_path}/missing").count() == 0
