@@ -1,4 +1,4 @@
-"""Command line: ``python -m quarry build | query | ask | serve | vectors``."""
+"""Command line: ``python -m quarry build | query | ask | serve | mcp | vectors``."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
-from .agent import models, server
+from .agent import mcp, models, server
 from .agent.loop import answer
 from .agent.tools import Searches, format_chunks, registry
 from .functions import embedders
@@ -53,7 +53,9 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--host", default="127.0.0.1")
     s.add_argument("--examples")
     s.add_argument("--content")
-    for p in (q, a, s):
+    s.add_argument("--log-days", type=int, default=7, help="days after which logs of conversations go, unless reported")
+    m = commands.add_parser("mcp", help="offer the tools to another program over standard input and output")
+    for p in (q, a, s, m):
         p.add_argument("--index", default=FOLDER)
     for p in (a, s):
         p.add_argument("--model")
@@ -190,6 +192,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 searches = Searches(index, embed)
                 run = {"hybrid": searches.hybrid, "fts": searches.full_text, "literal": searches.literal, "vector": searches.vector}[args.mode]
                 print(format_chunks(run(args.text, args.k), index.manifest.get("base_url")))
+            elif args.command == "mcp":
+                mcp.Server(index.manifest, registry(index, embed)).serve(sys.stdin, sys.stdout)
             elif args.command == "ask":
                 model, most, prompt = asking(index, args)
                 for event in answer(args.question, registry(index, embed), model, most, prompt):
@@ -200,7 +204,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             else:
                 model, most, prompt = asking(index, args)
                 suggested = server.examples(args.examples) if args.examples else None
-                made = server.server(index, registry(index, embed), model, args.port, args.host, most, prompt, suggested, args.content, server.Logs(f"{args.index}/debug"))
+                made = server.server(index, registry(index, embed), model, args.port, args.host, most, prompt, suggested, args.content, server.Logs(f"{args.index}/debug", args.log_days))
                 made.serve_forever()
     except (ValueError, OSError) as e:
         print(f"quarry: {e}", file=sys.stderr)

@@ -49,10 +49,19 @@ def tree(rows: Iterable[dict]) -> dict:
 
 
 class Logs:
-    """A file a conversation, in a folder of the server's own machine."""
+    """A file a conversation, in a folder of the server's own machine; files older than ``days`` go, unless reported."""
 
-    def __init__(self, folder: str):
-        self.folder = Path(folder)
+    def __init__(self, folder: str, days: int = 7):
+        self.folder, self.days = Path(folder), days
+
+    def clear(self, now: datetime | None = None) -> int:
+        """Deletes old logs; how many."""
+        oldest, gone = (now or datetime.now(UTC)).timestamp() - self.days * 86_400, 0
+        for path in self.folder.glob("*.json") if self.folder.is_dir() else ():
+            if not path.name.startswith("reported-") and path.stat().st_mtime < oldest:
+                path.unlink()
+                gone += 1
+        return gone
 
     def write(self, name: str, token: str, question: str, messages: list[dict], said: str, references: list[dict]) -> None:
         self.folder.mkdir(parents=True, exist_ok=True)
@@ -97,6 +106,8 @@ def logged(question: str, tools: dict[str, Tool], model: Callable, iterations: i
 
 def server(index: Index, tools: dict[str, Tool], model: Callable, port: int = 3000, host: str = "127.0.0.1", iterations: int = 5, prompt: str | None = None, suggested: list | None = None, content: str | None = None, logs: Logs | None = None) -> ThreadingHTTPServer:
     """A server that is bound to its port and not yet running."""
+    if logs:
+        logs.clear()
 
     class Handler(BaseHTTPRequestHandler):
         def log_message(self, *args):

@@ -76,15 +76,36 @@ class VectorIndex:
         return self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/{self._meta['version']}")
 
     def _commit(self, table: DataFrame, ids: Sequence[str]) -> Mutation:
-        old, mutation = self._meta["version"], str(uuid.uuid4())
+        old, mutation = self._meta.get("previous"), str(uuid.uuid4())  # the version in force stays for those that read it
         version = f"v-{uuid.uuid4().hex}"
         table.write.parquet(f"{self.folder}/{version}")
-        self._meta |= {"version": version, "last_mutation": mutation}
+        self._meta |= {"version": version, "previous": self._meta["version"], "last_mutation": mutation}
         self._save()
         if old:
             self._fs.delete(self._path(f"{self.folder}/{old}"), True)
         return Mutation(mutation, len(ids), tuple(ids))
 
+    def _frame(self, rows: DataFrame) -> DataFrame:
+        """A batch as a table of the index's columns (``pos`` tells which of repeated ids comes first; without it, any); one row that isn't valid rejects all of it."""
+        rows = rows.select("id", F.col("values").cast("array<float>").alias("values"), *(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("namespace", "metadata")), F.col("pos").cast("bigint") if "pos" in rows.columns else F.monotonically_increasing_id().alias("pos"))
+        wrong = (F.coalesce("id", F.lit("")) == "") | F.col("values").isNull() | (F.size("values") != self._meta["dimensions"])
+        if (bad := rows.filter(wrong).select("id", F.size("values").alias("n")).first()) is not None:
+            raise ValueError(f"vector {bad['id']} has {bad['n']} dimensions, not {self._meta['dimensions']}, or has no id")
+        return rows
+
+    def load(self, rows: DataFrame, replace: bool = True) -> int:
+        """``upsert`` (or ``insert``) of a table of any size, ``(id, values[, namespace, metadata, pos])``; how many rows of it are in the index then.  No row comes to the driver."""
+        new = self._frame(rows)
+        new = last_wins(new) if replace else first_wins(new).join(self.vectors.select("id"), "id", "left_anti")
+        new, old = new.drop("pos"), self.vectors
+        version = f"{self.folder}/batch-{uuid.uuid4().hex}"
+        new.write.parquet(version)
+        new = self.spark.read.schema(SCHEMA).parquet(version)
+        self._commit((old.join(new.select("id"), "id", "left_anti") if replace else old).unionByName(new.select(old.columns)), [])
+        n = new.count()
+        self._fs.delete(self._path(version), True)
+        return n
+
     def _rows(self, rows: Sequence[dict]) -> DataFrame:
         """A batch a caller holds; any row that isn't valid rejects all of it."""
         rows = [dict(r) for r in rows]
