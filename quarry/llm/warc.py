@@ -1,8 +1,10 @@
 """WARC archives as chunked record tables.
 
-A record is rows ``(record, chunk_no, chunk)`` of at most ``CHUNK`` bytes, each
-with the payload's SHA-1 up to and including that chunk, so a payload of any
-size is written, read and checked in pieces; no task ever holds one whole.
+A record is rows ``(record, chunk_no, chunk)`` of at most ``CHUNK`` bytes.  The
+writer and the reader take a payload chunk by chunk, with its SHA-1 up to and
+including each, so neither holds one whole.  Only Spark's row of the pages does,
+which chunks are cut from one at a time where it is read: payloads are neither
+shuffled nor put together again.
 Archives are WARC 1.1, a gzip member per record.  The writer returns places at
 which readers may start, so one archive is read by many tasks.
 """
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TaskFile, open_fs, scratch, written
+from .common import TaskFile, hinted, open_fs, scratch, written
 
 CHUNK = 256 << 10
 #: Compressed bytes after which a reader's stretch ends, and after which an archive ends.
@@ -27,7 +29,7 @@ NAME = "urn:record:"
 
 def duplicates(records: DataFrame, least: int = 1000) -> DataFrame:
     """``(payload_digest, payload_bytes, responder)`` of payloads that several records share."""
-    large = records.filter(F.col("payload_bytes") >= least)
+    large = records.select("payload_digest", "payload_bytes", "record").filter(F.col("payload_bytes") >= least)
     groups = large.groupBy("payload_digest", "payload_bytes").agg(F.max("record").alias("responder"), F.count("*").alias("n"))
     return groups.filter("n > 1 AND responder IS NOT NULL").drop("n")
 
@@ -43,7 +45,8 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     records = pages.select(F.col(id_col).alias("record"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     records = records.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": F.sha1("payload")})
-    joined = records.join(duplicates(records, least), ["payload_digest", "payload_bytes"], "left")
+    shared = hinted(written(duplicates(records, least), "shared_payloads"))
+    joined = records.join(shared, ["payload_digest", "payload_bytes"], "left")
     revisit = F.coalesce(F.col("responder") != F.col("record"), F.col("responder").isNotNull())
     joined = joined.select(
         "record", "url", "payload_bytes", "payload_digest",
@@ -52,8 +55,14 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"),
     )
     last = F.greatest(F.lit(0), F.expr(f"(octet_length(payload) - 1) div {chunk}")).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("chunk_no"), F.substring("payload", i * chunk + 1, F.lit(chunk)).alias("chunk"), (i == last).alias("last")))
-    return joined.select(*[c for c in joined.columns if c != "payload"], F.inline(pieces))
+    numbered = joined.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
+    piece = F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk))
+    return numbered.select(*[c for c in joined.columns if c != "payload"], "chunk_no", piece.alias("chunk"), (F.col("chunk_no") == last).alias("last"))
+
+
+def header_url(url: str | None) -> str | None:
+    """A url as a header has it: white space around it goes, other white space and control characters are percent-encoded."""
+    return None if url is None else "".join(c if c.isprintable() and not c.isspace() else "".join(f"%{b:02X}" for b in c.encode()) for c in url.strip())
 
 
 def _member(fields: list[tuple[str, object]]) -> bytes:
@@ -87,7 +96,7 @@ def write_warc(chunks: DataFrame, folder: str) -> DataFrame:
                     digest = base64.b32encode(bytes.fromhex(r["payload_digest"])).decode()
                     head = _member([
                         ("WARC-Type", r["record_type"]), ("WARC-Record-ID", f"<{NAME}{'' if r['record'] is None else r['record']}>"), ("WARC-Date", "1970-01-01T00:00:00Z"),
-                        ("WARC-Target-URI", None if r["url"] is None else "".join(r["url"].split())), ("WARC-Refers-To", f"<{NAME}{r['refers_to']}>" if revisit else None),
+                        ("WARC-Target-URI", header_url(r["url"])), ("WARC-Refers-To", f"<{NAME}{r['refers_to']}>" if revisit else None),
                         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None),
                         ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", r["payload_bytes"]),
                         ("Content-Type", "text/html"), ("Content-Length", 0 if revisit else r["payload_bytes"]),
