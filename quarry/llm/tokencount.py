@@ -18,7 +18,12 @@ decides it: token t can follow if the pair (last token before t, t) merges to
 itself, and exactly one token does.  A state is what decides the future: for
 each suffix of the prefix that begins some longer token, its place in the trie,
 the last token before it and the count since then.  States and transitions are
-compiled when first met, up to ``STATES``; then compilation starts anew.
+compiled when first met; where there are more than ``STATES``, compilation starts
+anew with those in use.  A pre-token longer than ``PIECE`` runs as pieces side by
+side, each from ``WARM`` bytes before it: what a state holds reaches a token's
+length back, so that soon it no longer depends on where the run began.  The
+pieces' maps compose in order: where a piece began in the state that the one
+before ends in, its count stands; else it runs again from that state.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ from .common import merge_blocks, text_bytes
 
 CHUNK = 512
 STATES = 100_000
+PIECE, WARM = 1024, 96
 LIMIT = 512
 #: Rows by which the tables grow.
 ROOM = 16_384
@@ -172,33 +178,73 @@ class Counter:
                     self.token.append(-1)
                 node = self.child[node][b]
             self.token[node] = i
-        self.stands = {}
-        self._anew()
-
-    def _anew(self) -> None:
-        self.states = [((0, -1, 0),)]
-        self.index = {self.states[0]: 0}
+        self.stands: dict[tuple[int, int], bool] = {}
+        self.spines: dict[int, tuple | None] = {}
+        self._anew(np.zeros(0, np.int64))
+
+    def _anew(self, kept: np.ndarray) -> np.ndarray:
+        """Empty tables but for the states that are kept; their new numbers."""
+        old = [self.states[i] for i in kept.tolist()]
+        start = ((0, -1, 0),)
+        self.states = list(dict.fromkeys([start, *old]))
+        self.index = {key: i for i, key in enumerate(self.states)}
+        rows = -(-(len(self.states) + 1) // ROOM) * ROOM
         self.column = np.full(256, -1, np.int16)  # of a byte, in the order in which they are met
-        self.next = np.full((ROOM, 128), -1, np.int32)
-        self.delta = np.zeros((ROOM, 128), np.int8)
-
-    def _merged(self, data: bytes) -> list[int]:
-        out = [self.single[b] for b in data]
-        while len(out) > 1:
-            best = min(((self.rank[p][0], k) for k, p in enumerate(zip(out, out[1:])) if p in self.rank), default=None)
-            if best is None:
-                break
-            k = best[1]
-            out[k : k + 2] = [self.rank[out[k], out[k + 1]][1]]
-        return out
+        self.next = np.full((rows, 128), -1, np.int32)
+        self.delta = np.zeros((rows, 128), np.int8)
+        return np.array([self.index[key] for key in old], np.int32)
+
+    def _spine(self, token: int) -> tuple | None:
+        """What stands at a token's left and right end while it is merged, each list from the token itself to a byte.
+
+        Entries are (token, rank of the merge that makes it).  None if merging the token's bytes doesn't give the token.
+        """
+        if token not in self.spines:
+            out, at = [self.single[b] for b in self.bytes[token]], -1
+            left, right = [(out[0], -1)], [(out[-1], -1)]
+            while len(out) > 1:
+                best = min(((self.rank[p][0], k) for k, p in enumerate(zip(out, out[1:])) if p in self.rank), default=None)
+                if best is None:
+                    break
+                at, k = best
+                if k == 0:
+                    left.append((self.rank[out[0], out[1]][1], at))
+                if k == len(out) - 2:
+                    right.append((self.rank[out[-2], out[-1]][1], at))
+                out[k : k + 2] = [self.rank[out[k], out[k + 1]][1]]
+            self.spines[token] = (left[::-1], right[::-1]) if out == [token] else None
+        return self.spines[token]
 
     def _valid(self, left: int, right: int) -> bool:
-        if (left, right) not in self.stands:
+        """Whether two tokens side by side (or one alone) merge to themselves: nothing merges across the border at any time."""
+        key = left, right
+        if key not in self.stands:
             if len(self.stands) > 1_000_000:
                 self.stands.clear()
-            want = [right] if left < 0 else [left, right]
-            self.stands[left, right] = self._merged(b"".join(self.bytes[t] for t in want)) == want
-        return self.stands[left, right]
+            self.stands[key] = self._stands(left, right)
+        return self.stands[key]
+
+    def _stands(self, left: int, right: int) -> bool:
+        after = self._spine(right)
+        if left < 0 or after is None:
+            return after is not None
+        before = self._spine(left)
+        if before is None:
+            return False
+        # back in time: what was merged last comes apart first; of equal merges the left one is earlier
+        i = j = 0
+        until_left = until_right = len(self.rank)  # ranks at which the two ends are merged into more
+        while True:
+            (x, made_x), (y, made_y) = before[1][i], after[0][j]
+            pair = self.rank.get((x, y))
+            if pair is not None and pair[0] < until_left and pair[0] <= until_right:
+                return False
+            if made_x < 0 and made_y < 0:
+                return True
+            if made_x > made_y:
+                i, until_left = i + 1, made_x
+            else:
+                j, until_right = j + 1, made_y
 
     def _compile(self, state: int, byte: int) -> None:
         """One transition; a state's entries are (trie node, last token before, tokens from there to the prefix's end)."""
@@ -216,12 +262,15 @@ class Counter:
         if at is None:
             at = self.index[key] = len(self.states)
             self.states.append(key)
-            if at >= len(self.next):
-                self.next = np.concatenate([self.next, np.full((ROOM, self.next.shape[1]), -1, np.int32)])
-                self.delta = np.concatenate([self.delta, np.zeros((ROOM, self.next.shape[1]), np.int8)])
+            self._room(at)
         self.next[state, self.column[byte]] = at
         self.delta[state, self.column[byte]] = change
 
+    def _room(self, state: int) -> None:
+        if state >= len(self.next):
+            self.next = np.concatenate([self.next, np.full((ROOM, self.next.shape[1]), -1, np.int32)])
+            self.delta = np.concatenate([self.delta, np.zeros((ROOM, self.next.shape[1]), np.int8)])
+
     def _columns(self, data: np.ndarray) -> None:
         """Gives each byte that is met for the first time a column of the tables."""
         new = np.flatnonzero((np.bincount(data, minlength=256) > 0) & (self.column < 0))
@@ -231,32 +280,67 @@ class Counter:
             self.next = np.concatenate([self.next, np.full_like(self.next, -1)], 1)
             self.delta = np.concatenate([self.delta, np.zeros_like(self.delta)], 1)
 
+    def _step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after a byte each, and changes in the number of tokens."""
+        at = self.column[byte]
+        to = self.next[state, at]
+        if (to < 0).any():
+            wanting = np.unique(state[to < 0].astype(np.int64) * 256 + byte[to < 0])
+            for x in wanting.tolist():
+                self._compile(x >> 8, x & 255)
+            to = self.next[state, at]
+        return to, self.delta[state, at]
+
     def count(self, words: pa.Array) -> np.ndarray:
-        """Number of tokens of each of a binary array's values, all run side by side."""
-        if len(self.states) > STATES:
-            self._anew()
+        """Number of tokens of each of a binary array's values; all, and the pieces of long ones, run side by side."""
         bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
         data = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] else np.zeros(0, np.uint8)
-        self._columns(data)
         length = np.diff(bounds)
-        order = np.argsort(-length, kind="stable")
-        begin, length = bounds[:-1][order], length[order]
-        live = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")  # values longer than k
-        state, total = np.zeros(len(order), np.int32), np.zeros(len(order), np.int64)
+        many = np.maximum(1, -(-length // PIECE))
+        owner = np.repeat(np.arange(len(length)), many)
+        no = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        warm = np.where(no > 0, WARM, 0)
+        begin = bounds[:-1][owner] + no * PIECE - warm
+        size = np.minimum(PIECE, length[owner] - no * PIECE) + warm
+        total, first, last = self._run(data, begin, size, warm, np.zeros(len(owner), np.int32))
+        for k in np.flatnonzero(no > 0).tolist():  # the maps compose in order; pieces of a word follow one another
+            if first[k] != last[k - 1]:
+                at = self.index.get(last[k - 1])
+                if at is None:
+                    at = self.index[last[k - 1]] = len(self.states)
+                    self.states.append(last[k - 1])
+                    self._room(at)
+                one = np.array([k])
+                again, _, end = self._run(data, begin[one] + WARM, size[one] - WARM, np.zeros(1, np.int64), np.array([at], np.int32))
+                total[k], last[k] = again[0], end[0]
+        return np.bincount(owner, weights=total, minlength=len(length)).astype(np.int64)
+
+    def _run(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, warm: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list, list]:
+        """Per run of ``size`` bytes: tokens counted from the ``warm``-th byte on, and the states there and at its end, which only long words have."""
+        order = np.argsort(-size, kind="stable")
+        begin, size, warm, state = begin[order], size[order], warm[order], state[order]
+        cut = (size >= PIECE) | (warm > 0)
+        first, last = [None] * len(order), [None] * len(order)
+        self._columns(data)
+        live = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left")  # runs longer than k
+        total = np.zeros(len(order), np.int64)
         for k, n in enumerate(live):
-            byte, own = data[begin[:n] + k], state[:n]
-            at = self.column[byte]
-            to = self.next[own, at]
-            if (to < 0).any():
-                wanting = np.unique(own[to < 0].astype(np.int64) * 256 + byte[to < 0])
-                for x in wanting.tolist():
-                    self._compile(x >> 8, x & 255)
-                to = self.next[own, at]
-            total[:n] += self.delta[own, at]
+            if len(self.states) > max(STATES, 4 * n):
+                used = np.unique(state[:n])
+                state[:n] = self._anew(used)[np.searchsorted(used, state[:n])]
+                self._columns(data)
+            if k == WARM:
+                for i in np.flatnonzero(warm[:n] > 0).tolist():
+                    first[i] = self.states[state[i]]
+            to, change = self._step(state[:n], data[begin[:n] + k])
+            total[:n] += change if k >= WARM else np.where(warm[:n] <= k, change, 0)
             state[:n] = to
-        out = np.empty(len(order), np.int64)
-        out[order] = total
-        return out
+            left = live[k + 1] if k + 1 < len(live) else 0
+            for i in (np.flatnonzero(cut[left:n]) + left).tolist():  # those that end here
+                last[i] = self.states[state[i]]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return total[back], [first[i] for i in back], [last[i] for i in back]
 
 
 def byte_alphabet() -> dict[int, str]:
