@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, hinted, written
 
 RANGES = 1024
 PLACE, TEXT, ROW = 20, 22, 21
@@ -25,9 +25,19 @@ PLACE, TEXT, ROW = 20, 22, 21
 SLOT_ROWS = 1 << 15
 
 
-def _text_place(column: Column) -> Column:
-    """A string's place in byte order, 0 to 1, by its first six bytes; null is 0."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(column.cast("string").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double"), F.lit(0.0)) / float(1 << 48)
+def _ranks(rows: DataFrame, column: Column) -> DataFrame:
+    """``(value, rank)`` of the distinct strings of a column in byte order, from 1; whole strings, ranked by a distributed sort."""
+    values = rows.select(column.cast("string").alias("value")).filter("value IS NOT NULL").distinct()
+    ordered = values.repartitionByRange("value").sortWithinPartitions("value").withColumn("at", F.monotonically_increasing_id())
+    ordered = written(ordered, "values")
+    part = F.shiftright("at", 33)
+    before, offsets = 0, []
+    for r in ordered.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row per partition
+        offsets.append((r["part"], before))
+        before += r["count"]
+    offsets = rows.sparkSession.createDataFrame(offsets, "part bigint, before bigint")
+    placed = ordered.withColumn("part", part).join(F.broadcast(offsets), "part")
+    return placed.select("value", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("double").alias("rank"))
 
 
 def shards(docs: DataFrame, n_shards: int = 40, dimensions: tuple[str, ...] = ("size", "lang", "source"), overhead: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,22 +45,26 @@ def shards(docs: DataFrame, n_shards: int = 40, dimensions: tuple[str, ...] = ("
 
     Size is the text's UTF-8 bytes (null: none) plus ``overhead``.  Dimensions
     are ``size`` (by its logarithm) and names of columns: numbers by value,
-    others by byte order; null comes first.  Rows are never dropped: repeated
+    others by the rank of the whole string in byte order; null comes first.
+    A dimension has 2^20 places; what shares one is told apart by text.  Rows are never dropped: repeated
     rows, null ids and empty texts are placed like others.  Fewer rows than
     shards leave shards empty.
     """
     kinds = dict(docs.dtypes)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     size = F.octet_length(text).cast("bigint") + overhead
-    places = {}
+    places, texts = {}, {}
     for k, name in enumerate(dimensions):
         if name == "size":
             places[f"p{k}"] = F.log2(size.cast("double"))
         elif kinds[name] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[name].startswith("decimal"):
             places[f"p{k}"] = F.coalesce(F.nanvl(F.col(name).cast("double"), F.lit(0.0)), F.lit(0.0))
         else:
-            places[f"p{k}"] = _text_place(F.col(name))
+            places[f"p{k}"], texts[f"p{k}"] = F.col(name).cast("string"), _ranks(docs, F.col(name))
     base = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), *(c.alias(n) for n, c in places.items()))
+    for n, ranks in texts.items():
+        ranked = hinted(written(ranks, "ranks").withColumnsRenamed({"value": f"value_{n}", "rank": f"rank_{n}"}))
+        base = base.join(ranked, F.col(n) == F.col(f"value_{n}"), "left").withColumn(n, F.coalesce(f"rank_{n}", F.lit(0.0))).drop(f"value_{n}", f"rank_{n}")
     base = written(base.withColumn("row_hash", F.xxhash64("doc_id", "text_hash", F.monotonically_increasing_id())), "metadata")
     spans = base.agg(*(f(n).alias(f"{n}_{f.__name__}") for n in places for f in (F.min, F.max)), F.count("*").alias("n")).first()
     keys = {}
