@@ -1,9 +1,9 @@
 """Quality by importance resampling (Xie et al., 2023): hashed n-gram models of target and raw text, Gumbel top-k.
 
 The raw model counts every text.  The target model counts the texts of at most
-``max_labels`` labelled good documents.  A document's log weight is the sum over
-its n-grams of log(target / raw); the k largest of log weight plus Gumbel noise
-are selected.
+``max_labels`` labelled good documents.  A document's log weight is the mean over
+its n-grams of log(target / raw), so that length doesn't decide; the k largest
+of log weight over ``TEMPERATURE`` plus Gumbel noise are selected.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ from .common import merge_blocks, text_bytes, written
 
 #: Bound on the labelled rows that the target model and k are fitted on.
 MAX_LABELS = 20_000
+#: Difference in log weight that makes a document e times as likely to be drawn first.
+TEMPERATURE = 0.002
+#: Share of the held-out good documents that the cut leaves in, at least.
+KEEP_GOOD = 0.95
 
 
 def labelled_sample(labels: DataFrame, max_labels: int = MAX_LABELS) -> dict[int, bool]:
@@ -55,7 +59,7 @@ def fit(docs: DataFrame, good: list[int]) -> np.ndarray:
 
 
 def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """``(row_key, doc_id, log_weight)`` of every row."""
+    """``(doc_id, text_key, log_weight)`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)  # a float per bucket
 
     def score(batches):
@@ -63,7 +67,7 @@ def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
         for batch in merge_blocks(batches, limit=1 << 20):
             doc, bucket = features(text_bytes(batch.column(1)))
-            w = np.bincount(doc, weights=shared.value[bucket], minlength=batch.num_rows)
+            w = np.bincount(doc, weights=shared.value[bucket], minlength=batch.num_rows) / np.bincount(doc, minlength=batch.num_rows).clip(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(w)], names=["doc_id", "text_key", "log_weight"])
 
     return docs.mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key bigint, log_weight double")
@@ -92,12 +96,29 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
             return lo
 
 
-def select(docs: DataFrame, labels: DataFrame, keep_good: float = 0.999, seed: int = 7, max_labels: int = MAX_LABELS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_between(good: np.ndarray, bad: np.ndarray, keep_good: float = KEEP_GOOD) -> float:
+    """The log weight from which on a document counts as good.
+
+    Of the places that leave in ``keep_good`` of the good ones or more, that at
+    which the shares of good and bad ones left in differ most, the lowest of such;
+    half-way to the next weight below.  Without bad ones, the least good weight.
+    """
+    good, bad = np.sort(good), np.sort(bad)
+    if not len(bad):
+        return float(good[0])
+    places = np.unique(np.concatenate([good, bad]))
+    kept = 1 - np.searchsorted(good, places, "left") / len(good)
+    wrong = 1 - np.searchsorted(bad, places, "left") / len(bad)
+    best = int(np.argmax(np.where(kept >= keep_good, kept - wrong, -2.0)))
+    return float(places[best] if not best else (places[best] + places[best - 1]) / 2)
+
+
+def select(docs: DataFrame, labels: DataFrame, keep_good: float = KEEP_GOOD, seed: int = 7, max_labels: int = MAX_LABELS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text_key, log_weight, gumbel_key, selected)``, a row per document.
 
     A fifth of the labelled good documents, by a hash of the id, is held out of
-    the target model; k is the number of documents whose log weight reaches that
-    of all but ``1 - keep_good`` of those held out (of all, if none is).  Noise comes from a hash of
+    the target model, as all bad ones are; k is the number of documents whose log
+    weight reaches ``cut_between`` those held out (all good ones, if none is).  Noise comes from a hash of
     seed, id and text, so a rerun selects the same; rows with the same id and
     text share their key, and rows that tie with the k-th are all selected.  A
     null or empty text has weight zero.  No good label (or no documents):
@@ -111,12 +132,13 @@ def select(docs: DataFrame, labels: DataFrame, keep_good: float = 0.999, seed: i
     held, fitted = held or good, fitted or good
     scored = written(weights(docs.withColumn("text_key", F.xxhash64("text")), fit(docs, fitted)), "weights")
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_key"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
+    keyed = scored.withColumn("gumbel_key", F.col("log_weight") / TEMPERATURE - F.log(-F.log(uniform)))
     spark = docs.sparkSession
-    ids = F.broadcast(spark.createDataFrame([(d,) for d in held], f"doc_id {scored.schema['doc_id'].dataType.simpleString()}"))  # at most max_labels rows
-    known = sorted(r["log_weight"] for r in scored.join(ids, "doc_id").select("doc_id", "text_key", "log_weight").distinct().limit(2 * max_labels).collect()) if good else []
-    if not known:
+    judged = [(d, True) for d in held] + [(d, False) for d, ok in sample.items() if not ok]
+    ids = F.broadcast(spark.createDataFrame(judged, f"doc_id {scored.schema['doc_id'].dataType.simpleString()}, good boolean"))  # at most max_labels rows
+    known = scored.join(ids, "doc_id").groupBy("doc_id", "good").agg(F.min("log_weight").alias("w")).collect() if good else []
+    weights_of = lambda ok: np.array([r["w"] for r in known if r["good"] == ok])
+    if not len(weights_of(True)):
         return keyed.withColumn("selected", F.lit(True))
-    least = known[int((1 - keep_good) * len(known))]
-    k = scored.filter(F.col("log_weight") >= least).count()
+    k = scored.filter(F.col("log_weight") >= cut_between(weights_of(True), weights_of(False), keep_good)).count()
     return keyed.withColumn("selected", F.col("gumbel_key") >= kth_largest(keyed, "gumbel_key", k))
