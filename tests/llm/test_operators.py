@@ -118,6 +118,23 @@ def test_transducers_on_odd_strings():
     assert c.count([x.encode() for x in texts]).tolist() == [len(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def test_long_words_and_few_states(monkeypatch):
+    t, rng = tok("byte_bpe_50k.json"), random.Random(6)
+    words = ["".join(rng.choice("abcXYZ") for _ in range(30_000)), "x" * 20_000, "ab" * 9000, "é" * 5000, "".join(rng.choice(["the", "ing", "tion"]) for _ in range(5000)), "a" * 1024, "b" * 1025, "-" * 3000 + "a" * 2048]
+    want = [len(t.encode(w, add_special_tokens=False).ids) for w in words]
+    c = tokencount.TokenCounter(tokenizer("byte_bpe_50k.json"))
+    assert c.count([w.encode() for w in words]).tolist() == want
+    monkeypatch.setattr(tokencount, "STATES", 300)
+    assert c.count([w.encode() for w in words]).tolist() == want and len(c.counter.states) < 3000
+    ids = list(c.counter.bytes)
+    for _ in range(3000):
+        a, b = rng.choice(ids), rng.choice(ids)
+        out = [c.counter.single[x] for x in c.counter.bytes[a] + c.counter.bytes[b]]
+        while (best := min(((c.counter.rank[p], k) for k, p in enumerate(zip(out, out[1:])) if p in c.counter.rank), default=None)) is not None:
+            out[best[1] : best[1] + 2] = [best[0][1]]
+        assert c.counter._valid(a, b) == (out == [a, b])
+
+
 def test_unit_cache_equals_library():
     from quarry.llm.tokenids import UnitEncoder
 
@@ -266,12 +283,28 @@ def test_forest(spark):
                 links[b] += 1
                 near.append((a, b))
     want = sum(links.values())
-    assert sum(r.n_links for r in got) >= 0.98 * want > 500 and sum(r.n_links for r in got) <= want
+    assert sum(r.n_links for r in got) >= 0.99 * want > 500 and sum(r.n_links for r in got) <= want
+    root = classes(len(usable), lambda a, b: (a, b) in linked) if (linked := set(near)) else []
+    least = {}
+    for (i, _, _), r in zip(usable, root):
+        least[r] = min(least.get(r, i), i)
+    names = {i: least[r] for (i, _, _), r in zip(usable, root)}
+    assert sum(names.get(r.vec_id, r.vec_id) == r.component_id for r in got) >= 0.99 * len(got)
     assert all(r.n_links == 0 and r.kept for r in got if r.vec_id in range(2002, 2009))
     assert {r.component_id for r in got if r.vec_id == 2000} == {r.component_id for r in got if r.vec_id == 0}
     assert forest.similar(df.limit(0)).count() == 0 and x
 
 
+def test_forest_on_scaled_copies_and_null_ids(spark):
+    rng = np.random.default_rng(9)
+    base, other = rng.standard_normal(8), rng.standard_normal((300, 8))
+    rows = [(i, [float(x) for x in base * (1 + i)], 1) for i in range(200)] + [(1000 + i, [float(x) for x in v], 1) for i, v in enumerate(other)] + [(None, [float(x) for x in base], 1), (None, [float(x) for x in other[0]], None)]
+    got = forest.similar(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), leaf=32).collect()
+    ids = [r for r in got if r.vec_id is not None and r.vec_id < 200]
+    assert len(got) == len(rows) and {r.component_id for r in ids} == {0} and all(r.n_links >= 200 for r in ids) and sum(r.kept for r in ids) == 1
+    assert sorted((r.n_links > 0, r.component_id, r.kept) for r in got if r.vec_id is None) == [(False, None, False), (True, 0, False)]
+
+
 def test_kd_shards(docs):
     got = kdshards.shards(docs, 7).collect()
     want = collections.Counter((d, len(t.encode()) + 16, zlib.crc32(t.encode())) for d, t in pairs(docs))
@@ -290,6 +323,74 @@ def test_kd_shards(docs):
     assert kdshards.shards(docs.limit(0), 7).count() == 0
 
 
+def test_kd_shards_by_whole_strings_and_hot_values(spark):
+    rows = [(i, f"text {i}" if i % 3 else "hot", "en", None if i % 50 == 7 else f"https://site{i % 50:03d}.example") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(3)
+    ranks = [(r.value, r["rank"]) for r in kdshards._ranks(df, F.col("source")).collect()]
+    assert sorted(ranks) == [(s, float(k + 1)) for k, s in enumerate(sorted({s for *_, s in rows if s}))]
+    of, sizes, sources = {}, collections.Counter(), dict((i, s) for i, _, _, s in rows)
+    for r in kdshards.shards(df, 6, dimensions=("source",)).collect():
+        of[r.doc_id] = r.shard
+        sizes[r.shard] += r.size
+    assert max(sizes.values()) - min(sizes.values()) < 0.05 * sum(sizes.values())
+    order = [of[i] for i in sorted(of, key=lambda i: (sources[i] is not None, sources[i] or ""))]
+    spans = [(sources[min((i for i in of if of[i] == s), key=lambda i: sources[i] or "")] or "", sources[max((i for i in of if of[i] == s), key=lambda i: sources[i] or "")]) for s in sorted(set(order))]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_resampling_by_brute_force(spark):
+    from quarry.llm.ngrams import _MIX, BUCKETS
+
+    def hashed(gram):
+        h = len(gram)
+        for k, b in enumerate(gram):
+            h = ((h ^ b) * int(_MIX[k])) % 2**64
+            h ^= h >> 29
+        return h % BUCKETS
+
+    def grams(text):
+        data, seen = text.encode(), set()
+        out = [hashed(data[i : i + n]) for n in (2, 4) for i in range(len(data) - n + 1)]
+        words = [w for w in regex_words(data)]
+        for pair in zip(words, words[1:]):
+            out.append(BUCKETS + (pair in seen))
+            seen.add(pair)
+        return out
+
+    rng = random.Random(4)
+    rows = [(i, prose(rng.randint(1, 60))) for i in range(120)] + [(200 + i, f"{rng.choice(VOCABULARY)} " * rng.randint(5, 60)) for i in range(40)] + [(300, None), (301, ""), (0, "again"), (None, prose(9))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labels = {i: 1 for i in range(0, 120, 2)} | {200 + i: 0 for i in range(0, 40, 2)}
+    got = resample.select(df, spark.createDataFrame(list(labels.items()), "doc_id bigint, quality int")).collect()
+    held = {i for i, q in labels.items() if q and zlib.crc32(str(i).encode()) % 5 == 0}
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        raw.update(grams(t or ""))
+        if labels.get(i) == 1 and i not in held:
+            target.update(grams(t or ""))
+    m = BUCKETS + 2
+    ratio = lambda b: np.log((target[b] + 1) / (sum(target.values()) + m)) - np.log((raw[b] + 1) / (sum(raw.values()) + m))
+    want = [(i, np.mean([ratio(b) for b in grams(t or "")] or [0.0])) for i, t in rows]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for (i, w), (j, v) in zip(sorted(want, key=key), sorted(((r.doc_id, r.log_weight) for r in got), key=key)):
+        assert i == j and v == pytest.approx(w, abs=1e-9)
+    lowest = lambda ids: [min(w for i, w in want if i == d) for d in ids]
+    cut = resample.cut_between(np.array(lowest(held)), np.array(lowest({i for i, q in labels.items() if not q})))
+    k = sum(w >= cut for _, w in want)
+    kth = sorted((r.gumbel_key for r in got), reverse=True)[k - 1]
+    assert 0 < k < len(rows) and all(r.selected == (r.gumbel_key >= kth) for r in got)
+    assert all(abs(r.gumbel_key - r.log_weight / resample.TEMPERATURE) < 40 for r in got)
+    assert resample.cut_between(np.array([1.0, 2, 3, 4]), np.array([0.0, 0.5]), 0.95) == 0.75
+    assert resample.cut_between(np.array([1.0, 2]), np.array([])) == 1.0 and resample.cut_between(np.array([1.0, 3]), np.array([2.0, 5]), 0.95) == 1.0
+
+
+def regex_words(data):
+    """Words, each with the white space behind it."""
+    import re
+
+    return re.findall(rb"[^\x20\x09-\x0d]+[\x20\x09-\x0d]*", data)
+
+
 def test_resampling(spark, docs):
     good = [(i, prose(80)) for i in range(300)]
     bad = [(1000 + i, " ".join([RNG.choice(VOCABULARY).upper() + "$$$"] * 60)) for i in range(60)]
@@ -403,6 +504,14 @@ def test_similar_texts_in_many_tiles(spark, monkeypatch):
     assert simhash.similar_texts(df.limit(0)).count() == 0
 
 
+def test_chat_escapes_reverse(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["#", "\\", "<", "/turn>", "</turn>", "### ", "a"]) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", chat.escape(F.col("t")).alias("e"), chat.unescape(chat.escape(F.col("t"))).alias("u")).collect():
+        assert r.u == r.t and "###" not in r.e and "</turn>" not in r.e
+
+
 def decontam_words(text):
     import regex
 
