@@ -59,7 +59,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packed)]
 
-#: No stage but the third can be said in SQL.
+#: Packing and the weights of the first stage are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
