@@ -59,7 +59,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packed)]
 
-#: Packing and the weights of the first stage are beyond SQL; tests compare the stages with brute force.
+#: Weights, fingerprints and packing are beyond SQL; tests hold near_duplicates and each operator against brute force or the library.
 ORACLE_SQL = None
 
 
