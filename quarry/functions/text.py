@@ -24,9 +24,15 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def folded(c: Column) -> Column:
+    """Lower case without Latin diacritics; null is empty.  Texts of ASCII alone have none and aren't translated."""
+    c = F.coalesce(c, F.lit(""))
+    return F.lower(F.when(F.octet_length(c) > F.length(c), F.translate(c, FOLDED, FOLDS_TO)).otherwise(c))
+
+
 def terms(c: Column) -> Column:
     """Runs of letters and digits, case-folded, without Latin diacritics."""
-    return F.regexp_extract_all(F.lower(F.translate(F.coalesce(c, F.lit("")), FOLDED, FOLDS_TO)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(folded(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def estimate_tokens(c: Column) -> Column:

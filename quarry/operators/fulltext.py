@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import FOLDED, FOLDS_TO, terms
+from ..functions.text import FOLDED, FOLDS_TO, folded, terms
 
 COLUMNS = ("chunk_id", "title", "section", "content", "tags")
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -96,7 +96,11 @@ def indexed(chunks: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     parts = [terms(F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c).cast("string")) for c in columns]
     gap = F.array(F.lit(""))
     tokens = reduce(lambda a, b: F.concat(a, gap, b), parts)
-    return chunks.select("chunk_id", tokens.alias("tokens")).withColumn("doc_len", (F.size("tokens") - (len(columns) - 1)).cast("bigint"))
+    return chunks.select("chunk_id", tokens.alias("tokens")).withColumn("doc_len", _doc_len(columns))
+
+
+def _doc_len(columns: tuple[str, ...]) -> Column:
+    return (F.size("tokens") - (len(columns) - 1)).cast("bigint").alias("doc_len")
 
 
 def postings(index: DataFrame) -> DataFrame:
@@ -118,6 +122,20 @@ def _holds(tree, tf: list[Column]) -> Column:
     return a & b if operator == "AND" else a | b if operator == "OR" else a & ~b
 
 
+def _may_hold(tree, phrases: tuple[tuple[str, ...], ...], plain: Column) -> Column:
+    """False only for folded texts that can't match: words of theirs that must stand in a match don't."""
+    if tree is None:
+        return F.lit(False)
+    if isinstance(tree, int):
+        return reduce(lambda a, b: a & b, [F.contains(plain, F.lit(t)) for t in dict.fromkeys(phrases[tree])])
+    operator, left, right = tree
+    a = _may_hold(left, phrases, plain)
+    if operator == "NOT":
+        return a
+    b = _may_hold(right, phrases, plain)
+    return a & b if operator == "AND" else a | b
+
+
 def _counted(tree, tf: list[Column], when: Column | None = None) -> dict[int, Column | None]:
     """Phrases that count in a row's score, each with the condition on which it does (None: always).
 
@@ -180,15 +198,20 @@ def scan(chunks: DataFrame, text: str, k: int | None = 10, strict: bool = False,
     distinct = list(dict.fromkeys(query.phrases))
 
     def frequency(phrase):
+        if len(phrase) == 1:
+            return F.size("tokens") - F.size(F.array_remove("tokens", phrase[0]))
         at = lambda x, i: reduce(lambda a, b: a & b, [x == phrase[0], *(F.get("tokens", i + n) == t for n, t in enumerate(phrase) if n)])
-        return F.size(F.filter("tokens", at if len(phrase) > 1 else lambda x: x == phrase[0]))
+        return F.size(F.filter("tokens", at))
+
+    def counted(rows):
+        # a generator's output isn't folded into the filters and counts above it, so each text is tokenised once
+        index = indexed(rows, columns).select("chunk_id", F.explode(F.array("tokens")).alias("tokens"))
+        return index.select("chunk_id", _doc_len(columns), *(frequency(p).alias(f"tf_{i}") for i, p in enumerate(distinct)))
 
-    counted = lambda rows: indexed(rows, columns).select("chunk_id", "doc_len", *(frequency(p).alias(f"tf_{i}") for i, p in enumerate(distinct)))
     numbers = counted(chunks).agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"), *(F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(distinct))))
     kinds = dict(chunks.dtypes)
-    plain = [F.lower(F.translate(F.coalesce(F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c).cast("string"), F.lit("")), FOLDED, FOLDS_TO)) for c in columns]
-    holds = lambda t: reduce(lambda a, b: a | b, [F.contains(c, F.lit(t)) for c in plain])
-    some = chunks.filter(reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [holds(t) for t in dict.fromkeys(p)]) for p in distinct]))
+    plain = F.array(*(folded(F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c).cast("string")) for c in columns))
+    some = chunks.withColumn("_plain", F.explode(F.array(F.array_join(plain, "\n")))).filter(_may_hold(query.tree, query.phrases, F.col("_plain"))).drop("_plain")
     return _ranked(counted(some), numbers, query, k)
 
 
