@@ -30,6 +30,8 @@ from .common import TaskFile, crc_ids, merge_blocks, open_fs, scratch, text_byte
 LANES, BLOCK, ROWS = 32, 1 << 16, 512
 #: Ids that share a frequency table; a task holds about this many at once.
 SEGMENT = 4 << 20
+#: Ids after which a task goes on in a further file: about 100 MB of text ids, and an index of a few megabytes.
+FILE = 64 << 20
 MAGIC = b"rANSids1"
 LOW = np.uint64(1 << 31)
 
@@ -140,12 +142,52 @@ def decode_blocks(blocks: list[bytes], f: np.ndarray, k: int) -> np.ndarray:
     return ids
 
 
-def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
-    """Writes the ids of every text, each followed by the end id, in ascending order of id; gives ``(file, number, n_ids)``.
+class _IdFile:
+    """A file of ids: segments of rANS blocks behind the magic, then an index of segments and documents."""
+
+    def __init__(self, folder: str, name: str):
+        self.to = TaskFile(folder, name)
+        self.to.write(MAGIC)
+        self.index: dict = {"segments": [], "docs": [], "n": []}
+        self.held, self.size, self.total = [], 0, 0
+
+    def add(self, docs: list, counts: list[int], ids: np.ndarray) -> None:
+        self.index["docs"] += docs
+        self.index["n"] += counts
+        self.total += len(ids)
+        self.held.append(ids)
+        self.size += len(ids)
+        while self.size >= SEGMENT:
+            joined = np.concatenate(self.held)
+            self._segment(joined[:SEGMENT])
+            self.held, self.size = [joined[SEGMENT:]], len(joined) - SEGMENT
+
+    def _segment(self, ids: np.ndarray) -> None:
+        f, k = frequencies(np.bincount(ids))
+        used = np.flatnonzero(f)
+        table = zlib.compress(np.diff(used, prepend=0).astype("<u4").tobytes() + f[used].astype("<u4").tobytes(), 1)
+        at, places = self.to.size, []
+        self.to.write(table)
+        for block in encode_blocks(ids, f, k):
+            places.append(len(block))
+            self.to.write(block)
+        self.index["segments"].append({"at": at, "table": len(table), "k": k, "blocks": places, "n": len(ids)})
+
+    def close(self) -> None:
+        if self.size:
+            self._segment(np.concatenate(self.held))
+        tail = zlib.compress(json.dumps(self.index).encode())
+        self.to.write(tail + struct.pack("<QI", len(tail), zlib.crc32(tail)) + MAGIC)
+        self.to.close()
+
+
+def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, file_ids: int = FILE) -> DataFrame:
+    """Writes the ids of every text, each followed by the end id, in ascending order of id; gives ``(file, number, part, n_ids)``.
 
     Documents are dealt by ranges of their id, so file after file holds them in
-    order (null ids first; equal ids by the text's hash).  A null or empty text
-    has the end id alone.  Files appear whole or not at all.
+    order (null ids first; equal ids by the text's hash).  A range goes on in a
+    further file once one has ``file_ids`` ids; a document lies in one file.
+    Files appear whole or not at all.  A null or empty text has the end id alone.
     """
 
     def write(batches):
@@ -153,57 +195,25 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_i
 
         from .tokenids import worker_encoder
 
-        number, encoder = TaskContext.get().partitionId(), worker_encoder(tokenizer)
-        to = None
-        index: dict = {"segments": [], "docs": [], "n": []}
-        held, size = [], 0
-
-        def flush():
-            nonlocal held, size
-            ids = np.concatenate(held)
-            counts = np.bincount(ids)
-            f, k = frequencies(counts)
-            used = np.flatnonzero(f)
-            table = zlib.compress(np.diff(used, prepend=0).astype("<u4").tobytes() + f[used].astype("<u4").tobytes(), 1)
-            at, places = to.size, []
-            to.write(table)
-            for block in encode_blocks(ids, f, k):
-                places.append(len(block))
-                to.write(block)
-            index["segments"].append({"at": at, "table": len(table), "k": k, "blocks": places, "n": len(ids)})
-            held, size = [], 0
-
-        total = 0
-        for batch in merge_blocks(batches):
-            if to is None:
-                to = TaskFile(folder, f"ids-{number:06d}.rans")
-                to.write(MAGIC)
+        number, part, encoder, out = TaskContext.get().partitionId(), 0, worker_encoder(tokenizer), None
+        done = lambda: pa.RecordBatch.from_pydict({"file": [out.to.uri], "number": pa.array([number], pa.int32()), "part": pa.array([part], pa.int32()), "n_ids": [out.total]})
+        for batch in merge_blocks(batches, limit=min(8 << 20, 4 * file_ids)):
+            if out is None:
+                out = _IdFile(folder, f"ids-{number:06d}-{part:05d}.rans")
             ids, at = encoder.encode(text_bytes(batch.column(1)))
-            n = np.diff(at)
-            own = np.insert(ids, at[1:], np.uint32(end_id))
-            index["docs"] += batch.column(0).to_pylist()
-            index["n"] += (n + 1).tolist()
-            total += len(own)
-            held.append(own)
-            size += len(own)
-            while size >= SEGMENT:
-                joined = np.concatenate(held)
-                rest = joined[SEGMENT:]
-                held, size = [joined[:SEGMENT]], SEGMENT
-                flush()
-                held, size = ([rest], len(rest)) if len(rest) else ([], 0)
-        if to is not None:
-            if size:
-                flush()
-            tail = zlib.compress(json.dumps(index).encode())
-            to.write(tail + struct.pack("<QI", len(tail), zlib.crc32(tail)) + MAGIC)
-            to.close()
-            yield pa.RecordBatch.from_pydict({"file": [to.uri], "number": pa.array([number], pa.int32()), "n_ids": [total]})
+            out.add(batch.column(0).to_pylist(), (np.diff(at) + 1).tolist(), np.insert(ids, at[1:], np.uint32(end_id)))
+            if out.total >= file_ids:
+                out.close()
+                yield done()
+                part, out = part + 1, None
+        if out is not None:
+            out.close()
+            yield done()
 
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("tie", F.xxhash64("text"))
     dealt = docs.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return written(dealt.mapInArrow(write, "file string, number int, n_ids bigint"), "ids_manifest")
+    return written(dealt.mapInArrow(write, "file string, number int, part int, n_ids bigint"), "ids_manifest")
 
 
 def read_ids(manifest: DataFrame, id_type: str = "bigint", with_ids: bool = False) -> DataFrame:
@@ -216,7 +226,7 @@ def read_ids(manifest: DataFrame, id_type: str = "bigint", with_ids: bool = Fals
             for row in batch.to_pylist():
                 yield from _read_file(row["file"], row["start"], with_ids, kind)
 
-    starts = manifest.select("file", (F.sum("n_ids").over(Window.orderBy("number")) - F.col("n_ids")).alias("start"))  # a row per file
+    starts = manifest.select("file", (F.sum("n_ids").over(Window.orderBy("number", "part")) - F.col("n_ids")).alias("start"))  # a row per file
     out = f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     # a task per file: a row is a few bytes here, and megabytes of ids
     return starts.repartition(max(1, manifest.count()), "file").mapInArrow(read, out)

@@ -60,6 +60,15 @@ def test_token_ids_in_files(docs):
     assert rans.round_trip(docs.limit(0), tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_token_ids_in_several_files_of_a_range(spark, docs, tmp_path):
+    name, columns = tokenizer("word_bpe_49k.json"), ["doc_id", "start", "n_tokens", "ids_crc32"]
+    manifest = rans.write_ids(docs, f"file://{tmp_path}/ids", name, file_ids=500)
+    files = manifest.collect()
+    assert max(r.part for r in files) > 2 and len({r.file for r in files}) == len(files)
+    one = rans.round_trip(docs, name).select(columns).collect()
+    assert collections.Counter(rans.read_ids(manifest).select(columns).collect()) == collections.Counter(one)
+
+
 def test_rans_blocks_and_checksums():
     rng = np.random.default_rng(1)
     for ids in (np.array([5]), np.full(100_000, 7), rng.integers(0, 49_000, 70_001), rng.zipf(1.3, 200_000) % 49_408):
