@@ -51,9 +51,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     def pieces(batches):
         from pyspark import TaskContext
 
-        from .tokenids import UnitEncoder
+        from .tokenids import worker_encoder
 
-        worker, seen, encoder = TaskContext.get().partitionId(), Counter(), UnitEncoder(tokenizer)
+        worker, seen, encoder = TaskContext.get().partitionId(), Counter(), worker_encoder(tokenizer)
         for batch in merge_blocks(batches):
             ids, at = encoder.encode(text_bytes(batch.column(1)))
             rows: list[tuple] = []
