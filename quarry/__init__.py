@@ -8,7 +8,7 @@ _PUBLIC = {
     "find_files": "sources.files", "read_vectors": "sources.files", "parse_files": "sources.parsers",
     "chunk_sections": "operators.chunking", "search": "operators.fulltext", "scan": "operators.fulltext", "literal_search": "operators.documents",
     "nearest": "operators.vectors", "batch_nearest": "operators.vectors", "fuse": "operators.hybrid", "compile_filter": "operators.filters",
-    "VectorIndex": "operators.vector_index", "mock_embedding": "functions.text", "answer": "agent.loop", "registry": "agent.tools",
+    "VectorIndex": "operators.vector_index", "mock_embedding": "functions.text", "answer": "agent.loop", "registry": "agent.tools", "query_index": "agent.tools",
 }
 __all__ = sorted(_PUBLIC)
 

@@ -15,11 +15,13 @@ from .agent import mcp, models, server
 from .agent.loop import answer
 from .agent.tools import Searches, format_chunks, registry
 from .functions import embedders
+from .operators import documents as D
 from .operators.vector_index import VectorIndex
 from .plans import config as C
 from .plans import index as I
 
 FOLDER = ".quarry"
+MODES = ("hybrid", "fts", "literal", "vector", "grep")
 
 
 def session() -> SparkSession:
@@ -43,8 +45,8 @@ def parser() -> argparse.ArgumentParser:
     for flag in ("clean", "include-drafts", "copy-content"):
         b.add_argument(f"--{flag}", action="store_true")
     q = commands.add_parser("query", help="search an index")
-    q.add_argument("text")
-    q.add_argument("--mode", choices=("hybrid", "fts", "literal", "vector"), default="hybrid")
+    q.add_argument("text", nargs="?", help="without one, a search for each line of standard input; :fts and the like change the mode")
+    q.add_argument("--mode", choices=MODES, default="hybrid")
     q.add_argument("-k", type=int, default=10)
     a = commands.add_parser("ask", help="have a language model answer")
     a.add_argument("question")
@@ -99,9 +101,12 @@ def build(spark: SparkSession, args) -> dict:
     before = None if args.clean else I.opened(spark, folder)
     model = args.embedding_model or (before.manifest["embedding"]["model_id"] if before else (config.get("embedding") or {}).get("model", "mock"))
     dimension = embedders.dimension_of(model, args.embedding_dim)
+    say = lambda line: print(line, file=sys.stderr)
+    found = "clean" if args.clean else I.state(spark, folder)
+    say({"clean": "building anew", "complete": "bringing the index up to date", "partial": "resuming a build that stopped", "none": "building a first index"}[found])
     made = I.build(
         spark, content, folder, config, embedders.as_column(model, dimension), model, dimension,
-        active=C.parse_filter(args.filter), drafts=args.include_drafts, clean=args.clean, content_copy=args.copy_content,
+        active=C.parse_filter(args.filter), drafts=args.include_drafts, clean=args.clean, content_copy=args.copy_content, report=say,
     )
     return made.manifest
 
@@ -120,6 +125,32 @@ def asking(index, args) -> tuple:
     return models.by_name(args.model or agent.get("model") or "llama3.2"), args.max_iterations or agent.get("max_iterations") or 5, agent.get("system_prompt")
 
 
+def search(index, embed, mode: str, text: str, k: int) -> str:
+    """The results of one search as text."""
+    if mode == "grep":
+        if not index.has_lines:
+            raise ValueError("the index was built without --copy-content")
+        found = D.grep(index.table("lines"), text, files=k).collect()
+        return "\n\n".join(f"{r.path} ({r.matches} matches)\n" + "\n".join(f"  {s.line_no}: {s.line}" for s in r.snippets) for r in found) or "No grep matches found."
+    searches = Searches(index, embed)
+    run = {"hybrid": searches.hybrid, "fts": searches.full_text, "literal": searches.literal, "vector": searches.vector}[mode]
+    return format_chunks(run(text, k), index.manifest.get("base_url"))
+
+
+def searching(index, embed, mode: str, lines, k: int) -> None:
+    """A search for every line; a line such as ``:fts`` changes the mode, ``:quit`` ends."""
+    for line in map(str.strip, lines):
+        if line in (":quit", ":q"):
+            return
+        if line.removeprefix(":") in MODES and line.startswith(":"):
+            mode = line[1:]
+        elif line:
+            try:
+                print(search(index, embed, mode, line, k), end="\n\n", flush=True)
+            except ValueError as e:
+                print(f"quarry: {e}", file=sys.stderr)
+
+
 def read_lines(path: str) -> list[dict]:
     """A JSON object a line; blank lines are skipped, and a bad line is named."""
     rows = []
@@ -189,9 +220,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         else:
             index, embed = opened(spark, args.index)
             if args.command == "query":
-                searches = Searches(index, embed)
-                run = {"hybrid": searches.hybrid, "fts": searches.full_text, "literal": searches.literal, "vector": searches.vector}[args.mode]
-                print(format_chunks(run(args.text, args.k), index.manifest.get("base_url")))
+                if args.text is None:
+                    searching(index, embed, args.mode, sys.stdin, args.k)
+                else:
+                    print(search(index, embed, args.mode, args.text, args.k))
             elif args.command == "mcp":
                 mcp.Server(index.manifest, registry(index, embed)).serve(sys.stdin, sys.stdout)
             elif args.command == "ask":
@@ -200,7 +232,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                     if event["type"] in ("token", "error"):
                         print(event.get("content") or event.get("message"))
                     for r in event.get("references", []):
-                        print(f"[{r['n']}] {r['title']} {r['url']}")
+                        print(f"[{r['n']}] {r['badge'] + ' ' if 'badge' in r else ''}{' > '.join([r['title'], *(r['headings'] or [])])}\n    {r['url']}")
             else:
                 model, most, prompt = asking(index, args)
                 suggested = server.examples(args.examples) if args.examples else None

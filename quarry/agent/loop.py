@@ -80,7 +80,8 @@ class Session:
                 self.seen.append(c)
 
     def references(self) -> list[dict]:
-        return [{"n": self.numbers[c["chunk_id"]], "title": c["title"], "url": c["url"], "headings": c["headings"]} for c in self.seen]
+        own = lambda c: {"badge": c["badge"]} if c.get("badge") else {}
+        return [{"n": self.numbers[c["chunk_id"]], "title": c["title"], "url": c["url"], "headings": c["headings"]} | own(c) for c in self.seen]
 
     def run(self, call: dict) -> Result:
         tool = self.tools.get(call["tool"])

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import documents as D
+from ..functions import text as T
 from ..operators import fulltext, hybrid, vectors
 from ..plans.index import Index
 
@@ -74,11 +75,12 @@ class Searches:
         return fulltext.search(self.index.table("postings"), self.index.statistics(), query, k)
 
     def full_text(self, query: str, k: int = 10) -> list[dict]:
-        ranked = self._text(query, k).select("chunk_id", (-F.col("bm25")).alias("score"))
+        ranked = self._badged(self._text(query, k).select("chunk_id", (-F.col("bm25")).alias("score")), "fts")
         return self._full(ranked, lambda r: [F.desc("score"), "chunk_id"])
 
     def literal(self, query: str, k: int = 10) -> list[dict]:
         ranked = D.literal_search(self.index.chunks, query, k).withColumn("score", F.col("match_count").cast("double"))
+        ranked = self._badged(ranked, "literal")
         return self._full(ranked, lambda r: [F.desc("score"), "chunk_id"])
 
     def vector(self, query: str, k: int = 10) -> list[dict]:
@@ -88,14 +90,28 @@ class Searches:
     def hybrid(self, query: str, k: int = 10) -> list[dict]:
         near = vectors.nearest(self.index.chunks.select("chunk_id", "content", "embedding"), self._vector(query), 3 * k, id_col="chunk_id", vector_col="embedding")
         fused = hybrid.fuse(near.select("chunk_id", "content", "distance"), self._text(query, 2 * k), k)
+        fused = fused.withColumn("badge", T.method_badge("hybrid", F.col("score"), F.col("f_rank"), F.col("v_rank")))
         return self._full(fused, lambda r: [F.desc("score"), F.asc_nulls_last("v_rank"), "f_rank"])
 
+    @staticmethod
+    def _badged(ranked: DataFrame, method: str) -> DataFrame:
+        """A handful of ranked rows with how they were found."""
+        rank = F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id"))
+        return ranked.withColumn("badge", T.method_badge(method, F.col("score"), rank))
+
     def _vector(self, query: str) -> list[float]:
         if self.embed is None:
             raise ValueError("there is no embedder")
         return self.embed(query)
 
 
+def query_index(index: Index, embed: Callable[[str], list[float]], query: str, k: int = 10) -> list[dict]:
+    """The k best chunks of the hybrid search, their contents cut to 200 characters."""
+    keep = ("chunk_id", "doc_id", "url", "title", "headings", "content", "score", "v_rank", "f_rank")
+    rows = Searches(index, embed).hybrid(query, k)
+    return [{n: r[n] for n in keep} | {"content": r["content"][:200] + "..." * (len(r["content"]) > 200)} for r in rows]
+
+
 def joined_url(base: str | None, url: str | None) -> str:
     return f"{base}{url.removeprefix('/')}" if base and url else url or ""
 

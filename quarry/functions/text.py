@@ -99,6 +99,49 @@ def snippet(c: Column, size: int = 200) -> Column:
     return F.concat(F.substring(c, 1, size), F.when(F.length(c) > size, "...").otherwise(""))
 
 
+def snippet_line(c: Column, size: int = 200) -> Column:
+    """``snippet`` on one line: runs of line ends become spaces before the cut."""
+    return F.concat(F.substring(F.regexp_replace(c, "\n+", " "), 1, size), F.when(F.length(c) > size, "...").otherwise(""))
+
+
+def snippet_around(c: Column, query: str, size: int = 200, before: int = 50) -> Column:
+    """A snippet that begins ``before`` characters ahead of the query's first ten letters and digits, if they stand further in."""
+    needle = "".join(x for x in query.lower() if x.isascii() and x.isalnum())[:10]
+    flat = lambda x: _strip(F.regexp_replace(x, "\n+", " "))
+    head = _strip(F.substring(F.regexp_replace(c, "\n+", " "), 1, size))
+    at = F.instr(F.lower(c), needle) - 1 if needle else F.lit(0)
+    own = F.when(at > before, F.concat(F.lit("..."), flat(F.substr(c, at - before + 1, F.lit(size))))).otherwise(head)
+    return F.concat(own, F.when(F.length(c) > size, "...").otherwise(""))
+
+
+def method_badge(method: str, score: Column, f_rank: Column, v_rank: Column | None = None) -> Column:
+    """How a result was found, as ``HYB[V1/F2] (0.0123)``, ``FTS[F1] (3.2000)`` or ``LIT[#1] (2.0000)``."""
+    rank = lambda letter, c: F.coalesce(F.concat(F.lit(letter), c.cast("string")), F.lit("-"))
+    own = {
+        "hybrid": lambda: F.concat(F.lit("HYB["), rank("V", F.lit(None).cast("int") if v_rank is None else v_rank), F.lit("/"), rank("F", f_rank), F.lit("]")),
+        "fts": lambda: F.concat(F.lit("FTS["), rank("F", f_rank), F.lit("]")),
+        "literal": lambda: F.concat(F.lit("LIT["), rank("#", f_rank), F.lit("]")),
+    }[method]()
+    return F.format_string("%s (%.4f)", own, score)
+
+
+def heading_url(url_: Column, headings: Column, base: str = "") -> Column:
+    """A page's url behind the base, with the slug of the last heading as its anchor if there is one."""
+    whole = F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace(url_, "^/", "")) if base else url_
+    anchor = slugify(F.coalesce(F.get(headings, F.size(headings) - 1), F.lit("")))
+    return F.concat(whole, F.when(anchor != "", F.concat(F.lit("#"), anchor)).otherwise(""))
+
+
+def cited(c: Column, references: int = 0) -> Column:
+    """An answer without a list of references of its own at its end, its ``[n]`` as links, and ``(n)`` too where there is such a reference."""
+    link = '<a href="#ref-$1" class="citation-link">[$1]</a>'
+    out = _strip(F.regexp_replace(c, r"(?is)\n+(references:?|#{2,3} references).*$", ""))
+    out = F.regexp_replace(out, r"\[(\d+)\](?!\()", link)
+    if references:
+        out = F.regexp_replace(out, r"\(0*(" + "|".join(map(str, range(1, references + 1))) + r")\)", link)
+    return out
+
+
 def java_hash(c: Column) -> Column:
     """31 h + c over UTF-16 units, wrapped to 32 bits: an INT value as BIGINT."""
     units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit(".{4}"), F.lit(0))

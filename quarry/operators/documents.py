@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower
+from ..functions.text import ascii_lower, slugify
 
 
 def literal_search(chunks: DataFrame, text: str, k: int = 10) -> DataFrame:
@@ -76,3 +76,26 @@ def render(chunks: DataFrame, separator: str = "\n\n---\n\n") -> DataFrame:
     """A document's chunks put together again, in the order of their ids."""
     parts = F.array_sort(F.collect_list(F.struct("chunk_id", "content")))
     return chunks.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["content"]), separator).alias("content"), F.count("*").alias("chunk_count"))
+
+
+def reading(chunks: DataFrame) -> DataFrame:
+    """``(doc_id, content, contents)``: a document as a page, its chunks in the order of their ids.
+
+    A chunk's headings stand before it from where its path leaves that of the
+    chunk before; a path that only gets shorter has none.  ``contents`` has each
+    heading once, without markup, and its anchor.
+    """
+    path = F.coalesce("headings", F.array().cast("array<string>"))
+    rows = chunks.select("doc_id", "chunk_id", "content", path.alias("path"))
+    prev = F.coalesce(F.lag("path").over(Window.partitionBy("doc_id").orderBy("chunk_id")), F.array().cast("array<string>"))
+    rows = rows.withColumn("prev", prev)
+    shared = F.least(F.size("path"), F.size("prev"))
+    differs = F.array_position(F.zip_with(F.slice("path", F.lit(1), shared), F.slice("prev", F.lit(1), shared), lambda a, b: ~a.eqNullSafe(b)), True).cast("int")
+    rows = rows.withColumn("from", F.when(differs > 0, differs - 1).otherwise(F.size("prev")))
+    heads = F.filter(F.transform("path", lambda h, i: F.when(i >= F.col("from"), F.concat(F.repeat(F.lit("#"), i + 1), F.lit(" "), h))), lambda h: h.isNotNull())
+    blocks = rows.select("doc_id", "chunk_id", "path", F.array_join(F.concat(heads, F.array("content")), "\n\n").alias("block"))
+    parts = F.array_sort(F.collect_list(F.struct("chunk_id", "block", "path")))
+    pages = blocks.groupBy("doc_id").agg(parts.alias("parts"))
+    plain = F.array_distinct(F.transform(F.flatten(F.transform("parts", lambda p: p["path"])), lambda h: F.regexp_replace(h, "<[^>]*>", "")))
+    contents = F.transform(plain, lambda h: F.struct(h.alias("title"), slugify(h).alias("anchor")))
+    return pages.select("doc_id", F.array_join(F.transform("parts", lambda p: p["block"]), "\n\n").alias("content"), contents.alias("contents"))

@@ -9,6 +9,8 @@ folder may be in any store.
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -49,18 +51,57 @@ class Index:
         return self.spark.createDataFrame([(self.manifest["statistics"]["n_docs"], self.manifest["statistics"]["avg_len"])], "n_docs bigint, avg_len double")
 
 
-def opened(spark: SparkSession, folder: str) -> Index | None:
-    """The index in the folder, or None if no build has been completed there."""
+def _read(reader, path: str):
+    """What the reader finds under the path, or None if nothing is there."""
     try:
-        found = spark.read.text(f"{folder}/manifest/*").collect()  # a line a build
+        return reader(path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    manifests = [json.loads(r.value) for r in found]
+
+
+def opened(spark: SparkSession, folder: str) -> Index | None:
+    """The index in the folder, or None if no build has been completed there."""
+    found = _read(spark.read.text, f"{folder}/manifest/*")
+    manifests = [json.loads(r.value) for r in found.collect()] if found is not None else []  # a line a build
     return Index(spark, folder, max(manifests, key=lambda m: m["version"])) if manifests else None
 
 
+def state(spark: SparkSession, folder: str) -> str:
+    """``complete`` if there is an index, ``partial`` if a first build stopped half-way (its vectors are used again), else ``none``."""
+    if opened(spark, folder):
+        return "complete"
+    return "none" if _read(spark.read.parquet, f"{folder}/tracking/v*") is None else "partial"
+
+
+CACHE = "model string, content_hash string, embedding array<float>"
+
+
+def _cached(spark: SparkSession, folder: str, model: str, dimension: int) -> DataFrame:
+    """The vectors kept for a model, over all builds and versions."""
+    found = _read(spark.read.schema(CACHE).parquet, f"{folder}/cache/{C.model_folder(model)}-{dimension}/*")
+    return spark.createDataFrame([], CACHE) if found is None else found.filter(F.col("model") == model)
+
+
+def _embedded(chunks: DataFrame, folder: str, embed: Callable[[Column], Column], model: str, dimension: int, report: Callable[[str], None]) -> DataFrame:
+    """Chunks with their vectors.
+
+    Texts that the model's cache lacks are embedded, each once, and added to it
+    before anything else is written; so neither a build that stops later, nor a
+    clean one, nor a turn to another model and back embeds a text again.
+    """
+    spark, began = chunks.sparkSession, time.monotonic()
+    missing = plans.cache_misses(chunks, _cached(spark, folder, model, dimension), model)
+    new = missing.select(F.lit(model).alias("model"), "content_hash", embed(F.col("content")).cast("array<float>").alias("embedding"))
+    path = f"{folder}/cache/{C.model_folder(model)}-{dimension}/{uuid.uuid4().hex}"
+    new.write.parquet(path)
+    n, seconds = spark.read.schema(CACHE).parquet(path).count(), time.monotonic() - began
+    report(f"{n} texts embedded in {seconds:.0f} s, {n / max(seconds, 1e-3):.1f} a second")
+    known = _cached(spark, folder, model, dimension).groupBy("content_hash").agg(F.first("embedding").alias("embedding"))
+    return chunks.join(known, "content_hash")
+
+
 def _chunks(sections: DataFrame, changed: DataFrame, config: dict) -> DataFrame:
     """Chunks of the sections, with ids and document columns."""
     keys = ["path"]
@@ -78,14 +119,16 @@ def _chunks(sections: DataFrame, changed: DataFrame, config: dict) -> DataFrame:
 def build(
     spark: SparkSession, content: str, folder: str, config: dict | None = None, embed: Callable[[Column], Column] | None = None, model: str = "mock", dimension: int = DIMENSION,
     active: dict[str, str] | None = None, drafts: bool = False, clean: bool = False, content_copy: bool = False, pdf_lines=None,
+    report: Callable[[str], None] = lambda line: None,
 ) -> Index:
     """The index of the files in ``content``; only files that are new or changed are parsed and embedded again.
 
     ``embed`` maps the Column of texts to that of vectors (by default the
-    deterministic test vectors).  Texts whose hash the index has keep their
-    vectors; equal texts are embedded once.  Documents that have become drafts,
+    deterministic test vectors).  Vectors are kept by model and hash of the
+    text, over all builds; equal texts are embedded once.  Documents that have become drafts,
     empty or filtered lose their chunks.  With another model the build begins
     anew; other options hold for the files parsed now, so change them with ``clean``.
+    ``report`` gets a line for each step that is done.
     """
     config = C.merge(config or {})
     embed = embed or (lambda c: T.mock_embedding(c, dimension))
@@ -103,8 +146,10 @@ def build(
         changes = plans.diff(before.table("tracking"), tracking)
         changed = tracking.join(changes.filter("change IN ('new', 'changed')"), "path", "left_semi")
         kept = before.chunks.join(changes.filter("change <> 'unchanged'"), "path", "left_anti")
+        report(", ".join(f"{r['count']} {r.change}" for r in changes.groupBy("change").count().orderBy("change").collect()) or "no files")
     else:
         changed, kept = tracking, None
+        report(f"{tracking.count()} files, all new")
 
     files = find_files(spark, content).join(changed, "path", "left_semi")
     parsed = parse_files(files, C.rules(config), config.get("substitutions"), pdf_lines)
@@ -113,11 +158,7 @@ def build(
     parsed.filter(keep if drafts else keep & ~F.col("draft")).write.mode("overwrite").parquet(f"{staged}/sections")
     _chunks(spark.read.parquet(f"{staged}/sections"), changed, config).write.mode("overwrite").parquet(f"{staged}/chunks")
 
-    new = spark.read.parquet(f"{staged}/chunks")
-    known = before.chunks.groupBy("content_hash").agg(F.first("embedding").alias("embedding")) if before else None
-    missing = (new.join(known, "content_hash", "left_anti") if known is not None else new).groupBy("content_hash").agg(F.min("content").alias("content"))
-    vectors = missing.select("content_hash", embed(F.col("content")).cast("array<float>").alias("embedding"))
-    new = new.join(vectors if known is None else vectors.unionByName(known), "content_hash")
+    new = _embedded(spark.read.parquet(f"{staged}/chunks"), folder, embed, model, dimension, report)
     (new if kept is None else kept.unionByName(new)).select(*COLUMNS).write.mode("overwrite").parquet(where["chunks"])
 
     chunks = spark.read.parquet(where["chunks"])
@@ -131,6 +172,7 @@ def build(
     n = chunks.agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("docs")).first()
     s = fulltext.statistics(index).first()
     manifest = C.manifest(config, model, dimension, n.docs, n.chunks, active, content_copy, version)
+    report(f"{n.docs} documents with {n.chunks} chunks")
     manifest["statistics"] = {"n_docs": s.n_docs, "avg_len": s.avg_len or 0.0}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest/v{version}")
     return Index(spark, folder, manifest)

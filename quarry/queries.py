@@ -179,6 +179,22 @@ for _name, _spec, _where in [
     query(f"WITH e AS (SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events) SELECT event_id FROM e WHERE {_where}", f"json_filter_events_{_name}")(lambda spark, sf_dir, _s=_spec: table(spark, sf_dir, "events").filter(compile_filter(_s, "props")).select("event_id"))
 
 
+
+def _nested(spark, sf_dir) -> DataFrame:
+    """Events with metadata of objects, lists and booleans."""
+    n = F.col("event_id")
+    inner = F.struct((n % 7).alias("b"), F.col("event_type").alias("kind"))
+    return table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(inner.alias("a"), (n % 2 == 0).alias("flag"), F.array(F.lit(1), n % 3).alias("list"), F.when(n % 5 == 0, n).alias("some"))).alias("metadata"))
+
+
+for _name, _spec, _where in [
+    ("dotted", {"a.b": 3}, "b = 3"), ("dotted_text_range", {"a.kind": {"$gte": "d"}}, "event_type >= 'd'"), ("several", {"a.b": {"$gte": 2, "$lt": 5}, "flag": False}, "b >= 2 AND b < 5 AND NOT flag"),
+    ("boolean", {"flag": True}, "flag"), ("boolean_as_number", {"flag": {"$in": [1, 5]}}, "flag"), ("element", {"list[1]": 2}, "event_id % 3 = 2"), ("true_is_one", {"list[0]": True}, "true"),
+    ("not_null", {"some": {"$ne": None}}, "event_id % 5 = 0"), ("missing_is_not_in", {"some": {"$nin": [5, 10]}}, "event_id NOT IN (5, 10)"), ("missing_is_in_no_range", {"some": {"$lte": 50}}, "event_id % 5 = 0 AND event_id <= 50"),
+]:
+    query(f"WITH e AS (SELECT event_id, event_type, event_id % 7 AS b, event_id % 2 = 0 AS flag FROM events) SELECT event_id FROM e WHERE {_where}", f"filter_{_name}")(lambda spark, sf_dir, _s=_spec: _nested(spark, sf_dir).filter(compile_filter(_s)).select("event_id"))
+
+
 @query(f"WITH {VECTORS.replace('vec_id = 0', 'vec_id = 17')} SELECT id, round(1 - {COSINE} / 2, 6) AS score FROM v, q ORDER BY {COSINE}, id LIMIT 5")
 def query_by_id(spark, sf_dir):
     v = vectors(spark, sf_dir)
@@ -305,6 +321,65 @@ def retention(spark, sf_dir):
     return build.retained(e, now, 7, "ts", "event_type", "click").select("event_id")
 
 
+def _turns(spark, sf_dir) -> DataFrame:
+    """Conversations as documents, a chunk a turn, below a heading for every two turns and one for the role."""
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("content"),
+        F.array(F.concat(F.lit("Part "), F.floor(F.col("turn") / 2)), F.coalesce("role", F.lit("?"))).alias("headings"),
+    )
+
+
+TURNS = "t AS (SELECT conv_id AS doc_id, lpad(turn::VARCHAR, 6, '0') AS chunk_id, coalesce(text, '') AS content, 'Part ' || (turn // 2) AS part, coalesce(role, '?') AS role FROM conversations)"
+
+
+@query(f"WITH {TURNS} SELECT doc_id, string_agg(content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY chunk_id, content) AS content, count(*) AS chunk_count FROM t GROUP BY doc_id")
+def render_documents(spark, sf_dir):
+    return D.render(_turns(spark, sf_dir))
+
+
+@query(f"""WITH {TURNS}, p AS (SELECT *, lag(part) OVER w AS part0, lag(role) OVER w AS role0 FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_id)),
+b AS (SELECT *, CASE WHEN part0 IS DISTINCT FROM part THEN '# ' || part || chr(10) || chr(10) ELSE '' END || CASE WHEN part0 IS DISTINCT FROM part OR role0 <> role THEN '## ' || role || chr(10) || chr(10) ELSE '' END || content AS block FROM p),
+h AS (SELECT doc_id, part AS title, chunk_id || '0' AS k FROM t UNION ALL SELECT doc_id, role, chunk_id || '1' FROM t), f AS (SELECT doc_id, title, min(k) AS k FROM h GROUP BY doc_id, title),
+c AS (SELECT doc_id, string_agg(title || '#' || lower(replace(title, ' ', '-')), '|' ORDER BY k) AS contents FROM f GROUP BY doc_id)
+SELECT doc_id, string_agg(block, chr(10) || chr(10) ORDER BY chunk_id) AS content, any_value(contents) AS contents FROM b JOIN c USING (doc_id) GROUP BY doc_id""")
+def reading_pages(spark, sf_dir):
+    """Documents with their headings put back, and their tables of contents."""
+    contents = F.array_join(F.transform("contents", lambda c: F.concat_ws("#", c["title"], c["anchor"])), "|")
+    return D.reading(_turns(spark, sf_dir)).select("doc_id", "content", contents.alias("contents"))
+
+
+LINES = r"regexp_replace({}, '\n+', ' ', 'g')"
+
+
+@query(rf"""WITH a AS (SELECT doc_id, text, instr(lower(text), 'license') - 1 AS place, {LINES.format("text")} AS flat, CASE WHEN length(text) > 200 THEN '...' ELSE '' END AS more FROM documents)
+SELECT doc_id, substr(text, 1, 200) || more AS snippet, substr(flat, 1, 200) || more AS line,
+CASE WHEN place > 50 THEN '...' || regexp_replace({LINES.format("substr(text, place - 49, 200)")}, '^\s+|\s+$', '', 'g') ELSE regexp_replace(substr(flat, 1, 200), '^\s+|\s+$', '', 'g') END || more AS around FROM a""")
+def snippets(spark, sf_dir):
+    """The three kinds of snippet of every text."""
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.snippet(c).alias("snippet"), T.snippet_line(c).alias("line"), T.snippet_around(c, "License!").alias("around"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '^\s+|\s+$', '', 'g'), '[^\w\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug,
+substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50) AS file_name FROM documents""")
+def slugs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"), T.sanitize_filename(F.col("text")).alias("file_name"))
+
+
+@query("SELECT doc_id, 'https://x/' || source || '/' || doc_id || '/#part-' || lower(lang) AS link FROM documents")
+def heading_links(spark, sf_dir):
+    path = F.concat(F.lit("/"), F.col("source"), F.lit("/"), F.col("doc_id"), F.lit("/"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.heading_url(path, F.array(F.lit("Top"), F.concat(F.lit("Part: "), F.col("lang"))), "https://x").alias("link"))
+
+
+@query(r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text || ' see [' || doc_id || '] and (02), (77) or [1](x)', '\[(\d+)\]\(', chr(1) || '\1' || chr(2), 'g'), '\[(\d+)\]', '<a href="#ref-\1" class="citation-link">[\1]</a>', 'g') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(t, '\(0*([1-5])\)', '<a href="#ref-\1" class="citation-link">[\1]</a>', 'g') AS t FROM a) SELECT doc_id, regexp_replace(replace(replace(t, chr(1), '['), chr(2), ']('), '^\s+|\s+$', '', 'g') AS answer FROM b""")
+def cited_answers(spark, sf_dir):
+    """Texts as answers with five references: their citations become links, and a list at their end goes."""
+    answer = F.concat(F.col("text"), F.lit(" see ["), F.col("doc_id"), F.lit("] and (02), (77) or [1](x)\n\n## References\n[1] one\n[2] two"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.cited(answer, 5).alias("answer"))
+
+
 # -- chunking ----------------------------------------------------------------
 
 WORDS = r"len(list_filter(string_split_regex({}, '\s+'), lambda x: x <> ''))"
@@ -330,7 +405,7 @@ def paragraph_split(spark, sf_dir):
 
 
 # no document has a blank line, so paragraphs pack to one unit; long ones go on to sentences
-PACK_SQL = rf"""WITH RECURSIVE d AS (SELECT doc_id, {TRIM.format('text')} AS t, {TOKENS.format('text')} AS whole FROM documents),
+PACKED = rf"""d AS (SELECT doc_id, {TRIM.format('text')} AS t, {TOKENS.format('text')} AS whole FROM source),
 short AS (SELECT doc_id, 0 AS part, t AS content, whole AS token_count FROM d WHERE whole <= 600 AND t <> ''),
 u AS (SELECT doc_id, {SENTENCES.format('t')} AS units FROM d WHERE whole > 600),
 p AS (SELECT doc_id, units, len(units) AS n, list_transform(range(0, len(units) + 1), lambda k: coalesce(list_sum(list_transform(units[1:k], lambda x: {TOKENS.format('x')})), 0)::BIGINT) AS s FROM u),
@@ -339,16 +414,23 @@ w AS (SELECT doc_id, 0 AS part, 0 AS b, greatest(1, list_max(list_filter(range(0
   SELECT doc_id, part + 1, b2, greatest(e + 1, list_max(list_filter(range(b2, n + 1), lambda x: s[x + 1] - s[b2 + 1] <= 500))) FROM
     (SELECT w.doc_id, part, e, n, s, coalesce(list_min(list_filter(range(b, e), lambda j: s[e + 1] - s[j + 1] <= 80)), e) AS b2 FROM w JOIN p USING (doc_id) WHERE e < n)),
 o AS (SELECT doc_id, part, array_to_string(units[b + 1:e], chr(10) || chr(10)) AS content, s[e + 1] - s[b + 1] AS token_count FROM w JOIN p USING (doc_id)),
-z AS (SELECT * FROM short UNION ALL SELECT * FROM o)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS idx, content, token_count::BIGINT AS token_count, substr(sha256(content), 1, 16) AS content_hash FROM z"""
+z AS (SELECT doc_id, part, content, token_count::BIGINT AS token_count, substr(sha256(content), 1, 16) AS content_hash FROM (SELECT * FROM short UNION ALL SELECT * FROM o))"""
 
 
-@query(PACK_SQL)
+@query(f"WITH RECURSIVE source AS (SELECT doc_id, text FROM documents), {PACKED} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS idx, content, token_count, content_hash FROM z")
 def pack_chunks(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("section_no"), F.col("text").alias("content"))
     return chunk_sections(d, ["doc_id"]).drop("section_no")
 
 
+@query(f"""WITH RECURSIVE source AS (SELECT conv_id * 100000 + turn AS doc_id, coalesce(text, '') AS text FROM conversations), {PACKED}
+SELECT doc_id // 100000 AS conv_id, doc_id % 100000 AS turn, row_number() OVER (PARTITION BY doc_id // 100000 ORDER BY doc_id, part) - 1 AS idx, content, token_count, content_hash FROM z""")
+def pack_sections(spark, sf_dir):
+    """Chunks of documents with several sections: a conversation's turns, numbered through."""
+    d = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.coalesce("text", F.lit("")).alias("content"))
+    return chunk_sections(d, ["conv_id"], section_no="turn")
+
+
 @query("SELECT doc_id, substr(sha256(text), 1, 16) AS content_hash FROM documents")
 def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))

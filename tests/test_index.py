@@ -3,8 +3,8 @@ import math
 import pytest
 
 from quarry.agent import loop
-from quarry.agent.tools import registry
-from quarry.plans.index import build, opened
+from quarry.agent.tools import query_index, registry
+from quarry.plans.index import build, opened, state
 from quarry.streaming.updates import follow
 
 
@@ -98,3 +98,40 @@ def test_agent_loop():
     assert loop.tool_calls('x {"tool": "a", "query": "b"} {"tool": "a"}') == [{"tool": "a", "query": "b"}]
     assert loop.final_answer("a\n final: ```\nb\n```") == "b" and loop.final_answer("a FINAL: b") is None
     assert loop.presearch_query("What is a hash?") == "hash" and loop.presearch_query("?") == ""
+
+
+def test_vectors_outlive_clean_and_stopped_builds(spark, tmp_path):
+    (tmp_path / "content").mkdir()
+    (tmp_path / "content" / "a.md").write_text("# A\n" + "alpha " * 60)
+    (tmp_path / "content" / "b.md").write_text("# B\nbeta")
+    content, folder = f"file://{tmp_path}/content", f"file://{tmp_path}/index"
+    assert state(spark, folder) == "none"
+    lines = []
+    first = build(spark, content, folder, dimension=8, report=lines.append)
+    assert lines[0] == "2 files, all new" and lines[1].startswith("2 texts embedded") and lines[2] == "2 documents with 2 chunks"
+    (tmp_path / "content" / "c.md").write_text("# C\nbeta")
+
+    def given(**kwargs):
+        lines.clear()
+        made = build(spark, content, folder, report=lines.append, **kwargs)
+        return made, lines[1].split()[0]
+
+    made, embedded = given(dimension=8)
+    assert lines[0] == "1 new, 2 unchanged" and embedded == "0" and made.manifest["chunk_count"] == 3
+    made, embedded = given(dimension=8, clean=True)
+    assert embedded == "0" and {r.content_hash: r.embedding for r in made.chunks.collect()} == {r.content_hash: r.embedding for r in first.chunks.collect()}
+    assert given(dimension=4)[1] == "2" and given(dimension=8)[1] == "0"
+
+    import shutil
+
+    shutil.rmtree(tmp_path / "index" / "manifest")  # as if the first build had stopped before its end
+    assert state(spark, folder) == "partial"
+    made, embedded = given(dimension=8)
+    assert embedded == "0" and state(spark, folder) == "complete"
+
+    best = query_index(made, mock, "alpha", 2)[0]
+    assert best["title"] == "a" and len(best["content"]) == 203 and best["content"].endswith("...")
+    tools = registry(made, mock)
+    assert tools["search_fts"](query="alpha").chunks[0]["badge"].startswith("FTS[F1] (")
+    assert tools["search_literal"](query="alpha").chunks[0]["badge"] == "LIT[#1] (60.0000)"
+    assert tools["search_hybrid"](query="alpha").chunks[0]["badge"].startswith("HYB[V1/F1] (")
