@@ -58,7 +58,9 @@ def find_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Vectors, a JSON object a line; blank lines are skipped, a line that isn't valid fails the read."""
-    schema = "id string, values array<float>, namespace string, metadata string, text string"
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("v")).select("v.*")
+    """Vectors, a JSON object a line; blank lines are skipped, a line that isn't valid fails the read, whose error shows the file and the line's beginning."""
+    schema = "id string, values array<float>, namespace string, metadata string, text string, bad string"
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
+    rows = lines.select("value", "file", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}).alias("v"))
+    shown = F.concat(F.col("file"), F.lit(": malformed line: "), F.substring("value", 1, 200))
+    return rows.filter(F.when(F.col("v.bad").isNotNull(), F.raise_error(shown).cast("boolean")).otherwise(True)).select("v.*").drop("bad")

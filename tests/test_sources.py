@@ -40,6 +40,9 @@ def test_vectors_in_lines(spark, tmp_path):
     (tmp_path / "w.json").write_text('{"id":"a"\n')
     with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
         read_vectors(spark, str(tmp_path / "w.json")).collect()
+    (tmp_path / "x.json").write_text('{"id":"a","values":[1]}\n{"id":"c","values":"none"}\n')
+    with pytest.raises(Exception, match=r'x\.json: malformed line: \{"id":"c"'):
+        read_vectors(spark, str(tmp_path / "x.json")).select("id").count()
 
 
 def test_names_that_begin_with_an_underscore_are_files(spark, tmp_path):
