@@ -8,7 +8,7 @@ import os
 import sys
 from pathlib import Path
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import SparkSession
 
 from .agent import mcp, models, server
@@ -130,6 +130,10 @@ def search(index, embed, mode: str, text: str, k: int) -> str:
     if mode == "grep":
         if not index.has_lines:
             raise ValueError("the index was built without --copy-content")
+        try:
+            index.spark.sparkContext._jvm.java.util.regex.Pattern.compile(text)
+        except IllegalArgumentException as e:
+            raise ValueError(f"not a pattern: {text}") from e
         found = D.grep(index.table("lines"), text, files=k).collect()
         return "\n\n".join(f"{r.path} ({r.matches} matches)\n" + "\n".join(f"  {s.line_no}: {s.line}" for s in r.snippets) for r in found) or "No grep matches found."
     searches = Searches(index, embed)

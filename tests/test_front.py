@@ -1,5 +1,6 @@
 """Command line, HTTP server, and clients against a small server of this process."""
 
+import io
 import json
 import threading
 import urllib.error
@@ -132,6 +133,20 @@ def test_build_and_query(built, spark, tmp_path, capsys, monkeypatch):
     assert main(["query", "x", "--index", str(tmp_path / "none")], spark) == 1
 
 
+def test_search_by_line_and_grep(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.md").write_text("# A\nalpha\nbeta alpha")
+    where = ["-c", str(tmp_path / "docs"), "-o", str(tmp_path / "ix")]
+    assert main(["build", *where, "--copy-content"], spark) == 0
+    assert "building a first index" in capsys.readouterr().err
+    monkeypatch.setattr("sys.stdin", io.StringIO("\nalpha\n:grep\nAL.HA\n[\n:quit\nnever\n"))
+    assert main(["query", "--mode", "fts", "--index", str(tmp_path / "ix")], spark) == 0
+    got = capsys.readouterr()
+    assert "--- Result 1" in got.out and "a.md (2 matches)\n  2: alpha\n  3: beta alpha" in got.out and "not a pattern" in got.err
+    assert main(["build", *where], spark) == 0 and "up to date" in capsys.readouterr().err
+    assert main(["query", "x", "--mode", "grep", "--index", str(tmp_path / "ix")], spark) == 1
+
+
 def test_vectors(spark, tmp_path, capsys):
     def run(*args):
         status = main(["vectors", "--dir", str(tmp_path), *args], spark)
